@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, pii, quality
+from . import licenses, mixing, packing, pii, quality, warc
 from .common import table
 
 
@@ -26,13 +26,24 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
+    "op8_warc": op8_warc,
+    "op10_packing": op10_packing,
 }
 LLM_SQL: dict[str, str] = {
     "op1_license_scan": licenses.license_sql(),
     "op3_mixing": mixing.mix_sql(),
+    "op8_warc": warc.WARC_SQL,
 }
