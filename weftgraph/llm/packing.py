@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, ship, stored
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -109,6 +109,7 @@ def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int,
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """FIELDS of every document's pieces; docs: doc_id, text."""
+    ship(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,6 +184,7 @@ def _as_items(pieces: DataFrame) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, fan_in: int = FAN_IN, slack: int = SLACK) -> DataFrame:
     """FIELDS of every piece with sequence_id and offset."""
+    ship(pieces.sparkSession)
     items = stored(_as_items(pieces), "pack-items")
     done = [items.where(F.col("total") == capacity)]
     left = items.where(F.col("total") < capacity)

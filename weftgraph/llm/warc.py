@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, ship
 
 MIN_REVISIT = 1000
 RECORDS_PER_FILE = 3000
@@ -113,6 +113,7 @@ def parse_records(data: bytes, with_payload: bool) -> Iterator[tuple]:
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """A row per record of the archives under path."""
+    ship(spark)
     columns = [c.split()[0] for c in RECORD.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

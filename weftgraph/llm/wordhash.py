@@ -106,7 +106,7 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
             return mix64(out)
         block = block[:-block_width] * factor + block[block_width:] if len(block) > block_width else block[:0]
         block_width *= 2
-        factor = factor * factor + U(2)
+        factor = U((int(factor) ** 2 + 2) % (1 << 64))
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
