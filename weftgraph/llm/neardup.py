@@ -118,9 +118,9 @@ def _verify(names: np.ndarray, weights: np.ndarray, side: np.ndarray, texts: lis
     return pd.DataFrame({"node": names, "root": names[root], "text_links": linked.sum(axis=1).astype(np.int64), "links": (linked * weights[None, :]).sum(axis=1).astype(np.int64)})
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
-    """A row per row of docs (doc_id, text): doc_id, class_id, n_links (documents it is similar to, copies included) and
-    n_text_links (other texts it is similar to)."""
+def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """doc_id and digest of every row of docs (doc_id, text), and per digest: class_id, first_id (its own least doc_id), copies,
+    has_grams, links (weighted by copies), n_text_links and keeps, true for one digest of each class."""
     ship(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     marks = stored(sketches(docs, bands, rows), "sketches")
@@ -187,14 +187,33 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         counts = counts.join(tied, "node", "left").select("node", "text_links", "links", F.coalesce("root", "component").alias("root"))
     facts = nodes.select("digest", "node", "first_id", "copies", (F.size("bands") > 0).alias("has_grams")).join(counts, "node", "left")
     facts = facts.withColumn("root", F.coalesce("root", "node"))
-    ids = facts.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = stored(facts.join(ids, "root").select("digest", "class_id", "has_grams", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).alias("n_text_links"), "copies"), "classes")
-    out = marks.select("doc_id", "digest").join(named, "digest")
+    leads = facts.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("lead"))
+    named = facts.join(leads, "root").select(
+        "digest", F.col("lead.first_id").alias("class_id"), "first_id", "copies", "has_grams", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("text_links", F.lit(0)).cast("long").alias("n_text_links"),
+        (F.col("node") == F.col("lead.node")).alias("keeps"),
+    )
+    named = stored(named, "classes")
     for used in (wanted, found):
         discard(used)
-    return out.select(
+    return marks.select("doc_id", "digest"), named
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """A row per row of docs (doc_id, text): doc_id, class_id, n_links (documents it is similar to, copies included) and
+    n_text_links (other texts it is similar to)."""
+    marks, named = text_classes(docs, threshold, recall, block)
+    return marks.join(named, "digest").select(
         "doc_id",
         F.when(F.col("has_grams"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("has_grams"), F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
-        F.col("n_text_links").cast("long"),
+        "n_text_links",
     )
+
+
+def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """docs with one row of each class, that of the least doc_id; texts without n-grams all stay."""
+    _, named = text_classes(docs.select("doc_id", "text"), threshold, recall, block)
+    kept = named.where(F.col("keeps") | ~F.col("has_grams")).select(F.col("digest").alias("_digest"), "first_id", "has_grams")
+    rows = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).join(kept, "_digest")
+    single = rows.where(F.col("has_grams") & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["_digest"])
+    return single.unionByName(rows.where(~F.col("has_grams"))).select(docs.columns)

@@ -3,9 +3,11 @@
 Vectors get a further component so that all have the largest norm; nearness by inner product then is nearness by angle.
 Trees are grown on a bounded sample (MAX_SAMPLE distinct vectors, in the order of a hash of vec_id): each node splits its
 share of the sample at the median projection on the difference of two of its vectors. Every vector is routed down every
-tree. A query keeps one queue of nodes over all trees, by the least margin on the way, and visits the next leaf until
-it has seen search_k rows. Leaves are joined with their visitors in blocks of bounded size, where exact inner products
-in double precision leave each query's best; the best over all leaves are ranked.
+tree. A query keeps one queue of nodes over all trees, by the sum of the squared margins that it crossed, and visits the
+next leaf until it has looked at its share of the rows. That share is what queries of the sample need for TARGET of their
+true neighbours, so vectors without structure are searched far and clustered ones little; trees are only so deep that a
+query visits about MAX_VISITS leaves. Leaves are joined with their visitors in blocks of bounded size, where exact inner
+products in double precision leave each query's best; the best over all leaves are ranked.
 
 Equal vectors are indexed once, with their k + 1 least ids, and equal queries are searched once. Vectors that are null or
 zero, hold null or non-finite components, or have another length than most (of equally frequent lengths the least) take
@@ -28,8 +30,10 @@ from pyspark.sql.window import Window
 from .common import ship, stored
 
 K, EVERY = 20, 20
-#: Trees of the forest, rows aimed at in a leaf, rows a query looks at, vectors that trees are grown on, rows of a block.
-TREES, LEAF, SEARCH_K, MAX_SAMPLE, BLOCK, SEED = 8, 100, 3000, 32_768, 4096, 5
+#: Trees of the forest, least rows aimed at in a leaf, leaves that a query may visit, share of true neighbours aimed at.
+TREES, LEAF, MAX_VISITS, TARGET = 6, 100, 64, 0.95
+#: Vectors that trees are grown on, of them queries that choose the share, rows of a block.
+MAX_SAMPLE, MAX_TRIALS, BLOCK, SEED = 32_768, 200, 4096, 5
 
 
 @dataclass(frozen=True)
@@ -60,27 +64,43 @@ class Forest:
             out[:, t] = node - (2**self.depth - 1)
         return out
 
-    def visits(self, x: np.ndarray, counts: np.ndarray, search_k: int) -> list[tuple[int, int, int]]:
-        """(row, tree, leaf) of the leaves that each query row visits; counts: rows by tree and leaf."""
+    def visits(self, x: np.ndarray, counts: np.ndarray, rows: float) -> Iterator[tuple[int, int, int]]:
+        """(row, tree, leaf) of the leaves that each query row visits until it has looked at rows; counts: rows by tree and leaf."""
         inner = 2**self.depth - 1
         y = np.column_stack([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x))])
-        out = []
         for i in range(len(x)):
             margins = (self.directions @ y[i] - self.thresholds).tolist()
-            queue = [(-np.inf, t, 0) for t in range(len(margins))]
-            heapq.heapify(queue)
-            seen = 0
-            while queue and seen < search_k:
-                priority, t, node = heapq.heappop(queue)
+            queue = [(0.0, t, 0) for t in range(len(margins))]
+            looked = 0
+            while queue and looked < rows:
+                crossed, t, node = heapq.heappop(queue)
                 while node < inner:
                     m = margins[t][node]
-                    far = 2 * node + 1 + (m <= 0)
-                    heapq.heappush(queue, (max(priority, abs(m)), t, far))
+                    heapq.heappush(queue, (crossed + m * m, t, 2 * node + 1 + (m <= 0)))
                     node = 2 * node + 1 + (m > 0)
-                seen += int(counts[t, node - inner])
                 if counts[t, node - inner]:
-                    out.append((i, t, node - inner))
-        return out
+                    looked += int(counts[t, node - inner])
+                    yield i, t, node - inner
+
+    def counts(self, leaves: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(leaves[:, t], minlength=2**self.depth) for t in range(leaves.shape[1])])
+
+    def share_needed(self, sample: np.ndarray, k: int, target: float, trials: int) -> float:
+        """Rows to look at, as a multiple of all rows, for target of the k true neighbours within the sample."""
+        leaves = self.leaves(sample)
+        counts = self.counts(leaves)
+        queries = sample[:trials]
+        scores = queries @ sample.T
+        scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+        true = np.argsort(-scores, axis=1)[:, : min(k, len(sample) - 1)]
+        found_at = np.full(true.shape, np.inf)
+        looked, last = 0, -1
+        for i, t, leaf in self.visits(queries, counts, np.inf):
+            looked = counts[t, leaf] + (looked if i == last else 0)
+            last = i
+            here = leaves[true[i], t] == leaf
+            found_at[i, here] = np.minimum(found_at[i, here], looked)
+        return float(np.quantile(found_at, target)) / len(sample) if found_at.size else 1.0
 
 
 def grow(sample: np.ndarray, norm: float, depth: int, trees: int = TREES, seed: int = SEED) -> Forest:
@@ -115,7 +135,7 @@ def usable(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id") -
     return rows.where(F.size("embedding") == (sizes["d"] if sizes else 0))
 
 
-def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, search_k: int = SEARCH_K, max_sample: int = MAX_SAMPLE) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TREES, leaf: int = LEAF, target: float = TARGET, max_sample: int = MAX_SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score for each row of vectors (vec_id, embedding) whose vec_id is divisible by every."""
     spark = vectors.sparkSession
     ship(spark)
@@ -136,6 +156,11 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
     sample = np.array([r[0] for r in reps.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(max_sample).collect()])
     depth = max(0, min(int(np.ceil(np.log2(max(n / leaf, 1)))), int(np.log2(max(len(sample) / 8, 1)))))
     forest = grow(sample, float(norm), depth, trees)
+    share = forest.share_needed(sample, k, target, MAX_TRIALS)
+    while depth and share * 2**depth > MAX_VISITS:
+        depth = min(depth - 1, max(0, int(np.log2(MAX_VISITS / share))))
+        forest = grow(sample, float(norm), depth, trees)
+        share = forest.share_needed(sample, k, target, MAX_TRIALS)
     shared = spark.sparkContext.broadcast(forest)  # as large as the sample allows
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,7 +181,7 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
         for b in batches:
             if len(b):
                 x = np.stack(b["embedding"].tolist())
-                found = [(i, t, f, block) for i, t, f in shared.value.visits(x, counts, search_k) for block in range(blocks[t, f])]
+                found = [(i, t, f, block) for i, t, f in shared.value.visits(x, counts, share * n) for block in range(blocks[t, f])]
                 at, tree, leaf_of, block = (np.array(c) for c in zip(*found, strict=True))
                 yield pd.DataFrame({"rep": b["rep"].to_numpy()[at], "embedding": [x[i] for i in at], "tree": tree, "leaf": leaf_of, "block": block, "is_query": True})
 
@@ -183,9 +208,14 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
             for at in range(0, len(q), 1024):
                 part = q.iloc[at : at + 1024]
                 scores = np.stack(part["embedding"].tolist()) @ x.T
-                for name, s in zip(part["rep"], scores, strict=True):
-                    order = np.lexsort((ids, -s))[: k + 1]
-                    out.append(pd.DataFrame({"query": name, "candidate": ids[order], "score": s[order]}))
+                names = part["rep"].to_numpy()
+                if len(ids) > k + 1:
+                    # All that tie with the last of the best come along.
+                    least = -np.partition(-scores, k, axis=1)[:, k]
+                    row, column = np.nonzero(scores >= least[:, None])
+                else:
+                    row, column = (a.ravel() for a in np.indices(scores.shape))
+                out.append(pd.DataFrame({"query": names[row], "candidate": ids[column], "score": scores[row, column]}))
         return pd.concat(out) if out else pd.DataFrame({"query": [], "candidate": [], "score": []})
 
     found = queries.unionByName(placed).groupBy("tree", "leaf", "block").applyInPandas(best, "query long, candidate long, score double")
