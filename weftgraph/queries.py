@@ -1,4 +1,439 @@
-"""Registered queries of the pattern engine."""
+"""Registered queries of the pattern engine, over a hypergraph of the tables, each with SQL where SQL has its meaning."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.handles import link_column, md5, node_column, node_handle
+from .operators import accessors, linking
+from .operators.attention import Attention
+from .operators.paths import find_paths
+from .operators.store import SKIP, Store, federated
+from .plans.compiler import Compiler, QueryOptions, top_answers
+from .plans.patterns import And, Constant, Or, Template, Variable, parse
+from .sources.expressions import as_links
+from .sources.relational import TableSpec, map_table, relation
+
+Build = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Build] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def named(kind: str, key: str) -> F.Column:
+    return F.concat(F.lit(kind + ":"), F.col(key).cast("string"))
+
+
+def in_nation(spark: SparkSession, d: str) -> DataFrame:
+    return relation(table(spark, d, "customer"), "InNation", named("customer", "c_custkey"), named("nation", "c_nationkey"))
+
+
+def in_region(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return relation(rows, "InRegion", named("nation", "n_nationkey"), F.concat(F.lit('"'), "r_name", F.lit('"')))
+
+
+def placed_by(spark: SparkSession, d: str) -> DataFrame:
+    return relation(table(spark, d, "orders"), "PlacedBy", named("order", "o_orderkey"), named("customer", "o_custkey"))
+
+
+def contains(spark: SparkSession, d: str) -> DataFrame:
+    return relation(table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct(), "Contains", named("order", "l_orderkey"), named("part", "l_partkey"))
+
+
+def supplied_in(spark: SparkSession, d: str) -> DataFrame:
+    return relation(table(spark, d, "supplier"), "SuppliesIn", named("supplier", "s_suppkey"), named("nation", "s_nationkey"))
+
+
+def deals(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    return relation(rows, "Deals", named("customer", "o_custkey"), named("supplier", "l_suppkey"))
+
+
+def under(spark: SparkSession, d: str) -> DataFrame:
+    """Each part under those of half and a third of its number: a graph with many paths."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("p"))
+    rows = parts.select("p", F.explode(F.array(F.floor(F.col("p") / 2), F.floor(F.col("p") / 3))).alias("q")).where("q > 0").distinct()
+    return relation(rows, "Under", named("part", "p"), named("part", "q"))
+
+
+def rich(spark: SparkSession, d: str) -> DataFrame:
+    """(Rich (InNation c n)) for customers with a balance over 5000: links over links."""
+    inner = relation(table(spark, d, "customer").where("c_acctbal > 5000"), "InNation", named("customer", "c_custkey"), named("nation", "c_nationkey"))
+    targets = F.array(F.lit(node_handle("Rich")), F.col("handle"))
+    rows = inner.select(targets.alias("targets"), F.concat(F.lit("(Rich "), "expr", F.lit(")")).alias("expr"))
+    return as_links(rows.select(link_column(F.col("targets")).alias("handle"), F.lit("Expression").alias("type"), "targets", F.lit(True).alias("is_toplevel"), "expr"))
+
+
+def links_of(spark: SparkSession, d: str, *relations: Callable) -> DataFrame:
+    out = relations[0](spark, d)
+    for r in relations[1:]:
+        out = out.unionByName(r(spark, d))
+    return out
+
+
+def ask(spark: SparkSession, d: str, query: object, relations: tuple, options: QueryOptions | None = None, importance: DataFrame | None = None) -> DataFrame:
+    return Compiler(spark, links_of(spark, d, *relations), importance, options or QueryOptions()).compile(query)
+
+
+# SQL building blocks. Handles are MD5 over type and content.
+
+X = md5("Expression")
+
+
+def sym(value: str) -> str:
+    return f"md5('Symbol ' || {value})"
+
+
+def lnk(*targets: str) -> str:
+    return f"md5('{X} ' || {' || chr(32) || '.join(targets)})"
+
+
+def rel_sql(head: str, a: str, b: str, source: str) -> str:
+    """a, b, h of a relation."""
+    return f"(SELECT {sym(a)} AS a, {sym(b)} AS b, {lnk(repr(node_handle(head)), sym(a), sym(b))} AS h FROM {source})"
+
+
+IN_NATION = rel_sql("InNation", "'customer:' || c_custkey", "'nation:' || c_nationkey", "customer")
+IN_REGION = rel_sql("InRegion", "'nation:' || n_nationkey", "'\"' || r_name || '\"'", "nation JOIN region ON n_regionkey = r_regionkey")
+PLACED_BY = rel_sql("PlacedBy", "'order:' || o_orderkey", "'customer:' || o_custkey", "orders")
+CONTAINS = rel_sql("Contains", "'order:' || l_orderkey", "'part:' || l_partkey", "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
+SUPPLIES_IN = rel_sql("SuppliesIn", "'supplier:' || s_suppkey", "'nation:' || s_nationkey", "supplier")
+DEALS = rel_sql("Deals", "'customer:' || o_custkey", "'supplier:' || l_suppkey", "(SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)")
+UNDER_ROWS = "(SELECT DISTINCT p, q FROM (SELECT p_partkey AS p, p_partkey // 2 AS q FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part) WHERE q > 0)"
+UNDER = rel_sql("Under", "'part:' || p", "'part:' || q", UNDER_ROWS)
+
+
+def s(name: str) -> str:
+    return f"'{node_handle(name)}'"
+
+
+def query(sql: str | None = None) -> Callable[[Build], Build]:
+    def add(f: Build) -> Build:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flat(answers: DataFrame, *names: str) -> DataFrame:
+    """The answers with handles as text, for comparison by value."""
+    bound = [F.col(f"v_{n}").alias(n) for n in names]
+    return answers.select(*bound, F.array_join("handles", " ").alias("handles"), "importance", "strength")
+
+
+# Leaves and operators
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return flat(ask(spark, d, '(and (InNation $c $n) (InRegion $n "ASIA"))', (in_nation, in_region)), "c", "n")
+
+
+@query(f"SELECT x.a AS c, x.b AS n, x.h || ' ' || y.h AS handles, 0.0::DOUBLE AS importance, 0.0::DOUBLE AS strength FROM {IN_NATION} x JOIN {IN_REGION} y ON x.b = y.a WHERE y.b = {s(chr(34) + 'ASIA' + chr(34))}")
+def pattern_and(spark: SparkSession, d: str) -> DataFrame:
+    return flagship(spark, d)
+
+
+@query(f"SELECT a AS c, h AS handles, 0.0::DOUBLE AS importance, 0.0::DOUBLE AS strength FROM {IN_NATION} WHERE b = {s('nation:3')}")
+def pattern_template(spark: SparkSession, d: str) -> DataFrame:
+    return flat(ask(spark, d, "(InNation $c nation:3)", (in_nation, in_region)), "c")
+
+
+def rel(head: str, *parts: object) -> Template:
+    return Template((Constant(node_handle(head)), *[Variable(p[1:]) if p[0] == "$" else Constant(node_handle(p)) for p in parts]))
+
+
+@query(f"SELECT x.a AS c, x.b AS n, z.a AS o, x.h || ' ' || y.h || ' ' || z.h AS handles, 0.0::DOUBLE AS importance, 0.0::DOUBLE AS strength FROM {IN_NATION} x JOIN {IN_REGION} y ON x.b = y.a JOIN {PLACED_BY} z ON z.b = x.a WHERE y.b = {s(chr(34) + 'ASIA' + chr(34))}")
+def pattern_and_three(spark: SparkSession, d: str) -> DataFrame:
+    q = And((rel("InNation", "$c", "$n"), rel("InRegion", "$n", '"ASIA"'), rel("PlacedBy", "$o", "$c")))
+    return flat(ask(spark, d, q, (in_nation, in_region, placed_by)), "c", "n", "o")
+
+
+@query(f"SELECT a AS c, h AS handles, 0.0::DOUBLE AS importance, 0.0::DOUBLE AS strength FROM {IN_NATION} x WHERE b = {s('nation:3')} AND NOT EXISTS (SELECT 1 FROM customer WHERE c_acctbal > 5000 AND x.a = {sym(chr(39) + 'customer:' + chr(39) + ' || c_custkey')})")
+def pattern_andnot(spark: SparkSession, d: str) -> DataFrame:
+    return flat(ask(spark, d, "(andnot (InNation $c nation:3) (Rich (InNation $c $n)))", (in_nation, rich)), "c")
+
+
+@query(f"SELECT a AS x, h AS handles, 0.0::DOUBLE AS importance, 0.0::DOUBLE AS strength FROM {IN_NATION} WHERE b = {s('nation:3')} UNION ALL SELECT a, h, 0.0::DOUBLE, 0.0::DOUBLE FROM {SUPPLIES_IN} WHERE b = {s('nation:3')}")
+def pattern_or(spark: SparkSession, d: str) -> DataFrame:
+    return flat(ask(spark, d, "(or (InNation $x nation:3) (SuppliesIn $x nation:3))", (in_nation, supplied_in)), "x")
+
+
+@query(f"SELECT DISTINCT y.a AS c FROM {PLACED_BY} z JOIN {IN_NATION} y ON z.b = y.a")
+def pattern_unique(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct assignments; the order isn't part of them, so the customer alone is kept by a plain distinct afterwards."""
+    found = ask(spark, d, "(and (PlacedBy $o $c) (InNation $c $n))", (placed_by, in_nation), QueryOptions(unique_assignment=True))
+    return found.select(F.col("v_c").alias("c")).distinct()
+
+
+@query(f"""SELECT c, n, least(h1, h2) AS handles FROM (SELECT x.a AS c, x.b AS n, min(x.h) AS h1, min(x.h) AS h2 FROM {IN_NATION} x JOIN {PLACED_BY} y ON y.b = x.a GROUP BY 1, 2)""")
+def pattern_unique_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Of equal assignments of an OR only one answer stays."""
+    q = Or((rel("InNation", "$c", "$n"), And((rel("InNation", "$c", "$n"), rel("PlacedBy", "$o", "$c")))))
+    found = Compiler(spark, links_of(spark, d, in_nation, placed_by), None, QueryOptions(unique_assignment=True)).compile(q)
+    return found.where("v_o IS NOT NULL").groupBy(F.col("v_c").alias("c"), F.col("v_n").alias("n")).agg(F.min(F.get("handles", F.lit(0))).alias("handles"))
+
+
+@query(f"""SELECT z.a AS c, z.b AS s, x.h || ' ' || z.h AS handles FROM {IN_NATION} x JOIN {DEALS} z ON z.a = x.a WHERE x.b = {s('nation:3')}
+UNION ALL SELECT z.a, z.b, y.h || ' ' || z.h FROM {SUPPLIES_IN} y JOIN {DEALS} z ON z.b = y.a WHERE y.b = {s('nation:3')}""")
+def pattern_partial_or(spark: SparkSession, d: str) -> DataFrame:
+    """An OR whose clauses bind different variables, joined on whichever is bound."""
+    q = "(and (or (InNation $c nation:3) (SuppliesIn $s nation:3)) (Deals $c $s))"
+    return flat(ask(spark, d, q, (in_nation, supplied_in, deals)), "c", "s").drop("importance", "strength")
+
+
+@query(f"SELECT x.a AS n, y.a AS m, x.h || ' ' || y.h AS handles FROM {IN_REGION} x, {IN_REGION} y WHERE x.b = {s(chr(34) + 'ASIA' + chr(34))} AND y.b = {s(chr(34) + 'EUROPE' + chr(34))}")
+def pattern_product(spark: SparkSession, d: str) -> DataFrame:
+    """Clauses without a shared variable: the product that the query asks for."""
+    return flat(ask(spark, d, '(and (InRegion $n "ASIA") (InRegion $m "EUROPE"))', (in_region,)), "n", "m").drop("importance", "strength")
+
+
+@query(f"SELECT x.a AS x, y.a AS y, x.b AS n FROM {IN_NATION} x JOIN {SUPPLIES_IN} y ON x.b = y.b WHERE x.b = {s('nation:3')}")
+def pattern_unique_value(spark: SparkSession, d: str) -> DataFrame:
+    found = ask(spark, d, "(and (and (InNation $x $n) (SuppliesIn $y $n)) (InNation $x nation:3))", (in_nation, supplied_in), QueryOptions(unique_value=True))
+    return found.select(F.col("v_x").alias("x"), F.col("v_y").alias("y"), F.col("v_n").alias("n"))
+
+
+@query(f"SELECT x.a AS c, x.b AS n, {lnk(s('Rich'), 'x.h')} AS handles FROM {IN_NATION} x JOIN (SELECT {sym(chr(39) + 'customer:' + chr(39) + ' || c_custkey')} AS a FROM customer WHERE c_acctbal > 5000) r ON r.a = x.a")
+def pattern_nested(spark: SparkSession, d: str) -> DataFrame:
+    return flat(ask(spark, d, "(Rich (InNation $c $n))", (rich, in_nation)), "c", "n").drop("importance", "strength")
+
+
+IMPORTANCE = f"(SELECT {lnk(s('InNation'), sym(chr(39) + 'customer:' + chr(39) + ' || c_custkey'), sym(chr(39) + 'nation:' + chr(39) + ' || c_nationkey'))} AS h, {sym(chr(39) + 'customer:' + chr(39) + ' || c_custkey')} AS c, c_acctbal AS i FROM customer)"
+
+
+def balance_importance(spark: SparkSession, d: str) -> DataFrame:
+    rows = relation(table(spark, d, "customer").withColumn("k", F.col("c_acctbal")), "InNation", named("customer", "c_custkey"), named("nation", "c_nationkey"))
+    both = table(spark, d, "customer").select(node_column(named("customer", "c_custkey")).alias("t1"), F.col("c_acctbal").alias("importance"))
+    return rows.join(both, "t1").select("handle", "importance")
+
+
+@query(f"SELECT c, round(i, 6) AS importance FROM {IMPORTANCE} ORDER BY i DESC, h LIMIT 50")
+def option_max_answers(spark: SparkSession, d: str) -> DataFrame:
+    found = top_answers(ask(spark, d, "(InNation $c $n)", (in_nation,), None, balance_importance(spark, d)), 50)
+    return found.select(F.col("v_c").alias("c"), F.round("importance", 6).alias("importance"))
+
+
+@query(f"SELECT c FROM {IMPORTANCE} WHERE i > 0")
+def option_positive_importance(spark: SparkSession, d: str) -> DataFrame:
+    return ask(spark, d, "(InNation $c $n)", (in_nation,), QueryOptions(positive_importance=True), balance_importance(spark, d)).select(F.col("v_c").alias("c"))
+
+
+@query(f"SELECT c FROM (SELECT c, row_number() OVER (ORDER BY i DESC, h) AS r, count(*) OVER () AS n FROM {IMPORTANCE}) WHERE r <= greatest(1, CAST(floor(0.3 * n + 0.5) AS BIGINT))")
+def option_focus_strictness(spark: SparkSession, d: str) -> DataFrame:
+    return ask(spark, d, "(InNation $c $n)", (in_nation,), QueryOptions(focus_strictness=0.3), balance_importance(spark, d)).select(F.col("v_c").alias("c"))
+
+
+@query("SELECT count(*) AS count FROM orders JOIN customer ON o_custkey = c_custkey")
+def option_count(spark: SparkSession, d: str) -> DataFrame:
+    return ask(spark, d, "(and (PlacedBy $o $c) (InNation $c $n))", (placed_by, in_nation)).agg(F.count(F.lit(1)).alias("count"))
+
+
+@query(f"SELECT n, count(*) AS answers FROM (SELECT y.b AS n FROM {PLACED_BY} x JOIN {IN_NATION} y ON x.b = y.a) GROUP BY n")
+def answers_grouped(spark: SparkSession, d: str) -> DataFrame:
+    return ask(spark, d, "(and (PlacedBy $o $c) (InNation $c $n))", (placed_by, in_nation)).groupBy(F.col("v_n").alias("n")).agg(F.count(F.lit(1)).alias("answers"))
+
+
+# Paths
+
+
+@query(f"""WITH RECURSIVE e AS {UNDER}, p AS (SELECT [h] AS links, [{s('part:150')}, b] AS nodes, b AS here FROM e WHERE a = {s('part:150')}
+UNION ALL SELECT list_append(links, h), list_append(nodes, b), b FROM p JOIN e ON e.a = p.here WHERE NOT list_contains(nodes, b) AND here <> {s('part:1')})
+SELECT array_to_string(links, ' ') AS path, CAST(len(links) AS BIGINT) AS hops FROM p WHERE here = {s('part:1')}""")
+def chain_complete(spark: SparkSession, d: str) -> DataFrame:
+    edges = under(spark, d).select("handle", F.col("t1").alias("src"), F.col("t2").alias("dst"), F.lit(0.0).alias("importance"))
+    found = find_paths(edges, node_handle("part:150"), node_handle("part:1"))
+    return found.select(F.array_join("links", " ").alias("path"), F.size("links").cast("long").alias("hops"))
+
+
+@query(f"""WITH RECURSIVE e AS {UNDER}, p AS (SELECT [h] AS links, [b, a] AS nodes, a AS here FROM e WHERE b = {s('part:7')}
+UNION ALL SELECT list_prepend(h, links), list_append(nodes, a), a FROM p JOIN e ON e.b = p.here WHERE NOT list_contains(nodes, a))
+SELECT here AS start, array_to_string(links, ' ') AS path FROM p""")
+def chain_to_variable(spark: SparkSession, d: str) -> DataFrame:
+    """All paths that end at one part, from whichever part."""
+    edges = under(spark, d).select("handle", F.col("t1").alias("src"), F.col("t2").alias("dst"), F.lit(0.0).alias("importance"))
+    found = find_paths(edges, None, node_handle("part:7"), incomplete=True, all_prefixes=True)
+    return found.select(F.col("first").alias("start"), F.array_join("links", " ").alias("path"))
+
+
+# Store
+
+
+@query(f"SELECT {sym(chr(39) + 'nation:' + chr(39) + ' || n_nationkey')} AS target, count(*) AS links FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) x JOIN nation ON k = n_nationkey GROUP BY 1")
+def store_incoming(spark: SparkSession, d: str) -> DataFrame:
+    nations = table(spark, d, "nation").select(node_column(named("nation", "n_nationkey")).alias("handle"))
+    links = links_of(spark, d, in_nation, supplied_in)
+    return Store(links.select("handle").limit(0), links).incoming(nations).groupBy("target").agg(F.count(F.lit(1)).alias("links"))
+
+
+@query(f"SELECT h AS handle, unnest([{s('InNation')}, a, b]) AS target, unnest([0, 1, 2]) AS pos FROM {IN_NATION}")
+def store_outgoing(spark: SparkSession, d: str) -> DataFrame:
+    return in_nation(spark, d).select("handle", F.posexplode("targets").alias("pos", "target"))
+
+
+@query(f"SELECT h AS handle FROM {IN_NATION} WHERE b = {s('nation:3')}")
+def store_match(spark: SparkSession, d: str) -> DataFrame:
+    links = links_of(spark, d, in_nation, placed_by)
+    return Store(links.select("handle").limit(0), links).match([node_handle("InNation"), None, node_handle("nation:3")]).select("handle")
+
+
+@query(f"SELECT h AS handle FROM {IN_NATION} UNION SELECT h FROM {SUPPLIES_IN}")
+def store_upsert(spark: SparkSession, d: str) -> DataFrame:
+    first, second = in_nation(spark, d), links_of(spark, d, in_nation, supplied_in)
+    new = second.select("handle", "type", "targets", "is_toplevel", "expr")
+    return Store(first.select("handle").limit(0), first).add_links(new, SKIP).links.select("handle")
+
+
+@query(f"SELECT h AS handle FROM {IN_NATION} WHERE b <> {s('nation:3')}")
+def store_delete(spark: SparkSession, d: str) -> DataFrame:
+    """Deleting a nation takes the links that hold it, and the links over those."""
+    links = links_of(spark, d, in_nation, rich)
+    gone = spark.createDataFrame([(node_handle("nation:3"),)], "handle string")
+    left = Store(gone, links).delete(gone, with_incoming=True)
+    return left.links.where(F.col("t0") == node_handle("InNation")).select("handle")
+
+
+@query(f"SELECT h AS handle, CASE WHEN b = {s('nation:3')} THEN 'first' ELSE 'second' END AS origin FROM {IN_NATION}")
+def store_federated(spark: SparkSession, d: str) -> DataFrame:
+    """Two stores hold some links both; the first one's copy counts."""
+    links = in_nation(spark, d)
+    a = links.where(F.col("t2") == node_handle("nation:3")).withColumn("expr", F.lit("first"))
+    b = links.withColumn("expr", F.lit("second"))
+    none = links.select("handle", "type", F.col("expr").alias("name"), "is_toplevel").limit(0)
+    return federated([Store(none, a), Store(none, b)]).links.select("handle", F.col("expr").alias("origin"))
+
+
+@query(f"""SELECT root, unnest([{s('InNation')}, {s('Rich')}, a, b]) AS handle FROM (SELECT {lnk(s('Rich'), 'x.h')} AS root, x.a, x.b FROM {IN_NATION} x JOIN (SELECT {sym(chr(39) + 'customer:' + chr(39) + ' || c_custkey')} AS a FROM customer WHERE c_acctbal > 5000) r ON r.a = x.a)""")
+def store_reachable(spark: SparkSession, d: str) -> DataFrame:
+    links = links_of(spark, d, in_nation, rich)
+    leaves = links.select(F.explode("targets").alias("handle")).distinct().join(links.select("handle"), "handle", "left_anti")
+    return Store(leaves, links).reachable(rich(spark, d).select("handle"))
+
+
+# Attention
+
+
+def order_sets(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string"))).alias("handles")).select("handles")
+
+
+SETS = "(SELECT DISTINCT l_orderkey AS o, 'supplier:' || l_suppkey AS h FROM lineitem)"
+BIG_SETS = f"(SELECT o, h FROM {SETS} WHERE o IN (SELECT o FROM {SETS} GROUP BY o HAVING count(*) > 1))"
+EDGES = f"(SELECT x.h AS src, y.h AS dst, count(*) AS cnt FROM {BIG_SETS} x JOIN {BIG_SETS} y ON x.o = y.o AND x.h <> y.h GROUP BY 1, 2)"
+
+
+@query(f"SELECT src, dst, cnt FROM {EDGES}")
+def attention_correlate(spark: SparkSession, d: str) -> DataFrame:
+    return Attention.empty(spark).correlate(order_sets(spark, d)).edges
+
+
+@query(f"""WITH nodes AS (SELECT h, count(*) AS cnt FROM {BIG_SETS} GROUP BY h), edges AS {EDGES},
+w AS (SELECT src, dst, e.cnt / CAST(n.cnt AS DOUBLE) AS w FROM edges e JOIN nodes n ON src = h), t AS (SELECT src, sum(w) AS all_w FROM w GROUP BY src),
+paid AS (SELECT h, 1.0 / (SELECT count(*) FROM nodes) AS importance FROM nodes),
+got AS (SELECT dst, sum(importance * 0.1 * w / all_w) AS received FROM w JOIN t USING (src) JOIN paid ON src = h GROUP BY dst)
+SELECT h AS handle, round(importance * 0.9 + coalesce(received, 0), 9) AS importance FROM paid LEFT JOIN got ON dst = h""")
+def attention_stimulate(spark: SparkSession, d: str) -> DataFrame:
+    """All suppliers get an equal wage out of the first token, then spread a tenth along their correlations."""
+    state = Attention.empty(spark).correlate(order_sets(spark, d))
+    state = state.stimulate(state.nodes.select("handle", F.lit(1).alias("n")))
+    return state.nodes.select("handle", F.round("importance", 9).alias("importance"))
+
+
+@query("""WITH base AS (SELECT 'n' || n_nationkey AS h, 'r' || n_regionkey AS d, n_nationkey / 100.0 AS own FROM nation), r AS (SELECT 'r' || r_regionkey AS h, r_regionkey / 10.0 AS own FROM region)
+SELECT base.h AS handle, round((base.own + r.own) / 2, 9) AS importance FROM base JOIN r ON d = r.h UNION ALL SELECT h, round(own, 9) FROM r""")
+def attention_determiners(spark: SparkSession, d: str) -> DataFrame:
+    """A nation's importance is averaged with its region's."""
+    nations, regions = table(spark, d, "nation"), table(spark, d, "region")
+    n = lambda df, kind, key, by: df.select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("handle"), F.lit(1).cast("long").alias("cnt"), (F.col(key) / by).alias("importance"))
+    empty = Attention.empty(spark)
+    state = Attention(n(nations, "n", "n_nationkey", 100.0).unionByName(n(regions, "r", "r_regionkey", 10.0)), empty.edges, empty.determiners)
+    lists = nations.select(F.array(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")), F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).alias("handles"))
+    return state.set_determiners(lists).importance().select("handle", F.round("importance", 9).alias("importance"))
+
+
+# Inference and link creation
+
+
+def supplier_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as predicates that hold of the nations they deliver to, weighted by their largest discount there."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy(F.col("l_suppkey").cast("string").alias("owner"), F.col("c_nationkey").cast("string").alias("key")).agg(F.round(F.max("l_discount") * 100).cast("long").alias("w"))
+
+
+FACTS = "(SELECT CAST(l_suppkey AS VARCHAR) AS owner, CAST(c_nationkey AS VARCHAR) AS key, CAST(round(max(l_discount) * 100) AS BIGINT) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+COUNTED = f"""f AS {FACTS}, c AS (SELECT owner, sum(w) AS w FROM f GROUP BY owner),
+p AS (SELECT x.owner AS a, y.owner AS b, sum(least(x.w, y.w)) AS common FROM f x JOIN f y ON x.key = y.key AND x.owner < y.owner GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {COUNTED}, e AS (SELECT a, b, common / CAST(ca.w + cb.w - common AS DOUBLE) AS strength FROM p JOIN c ca ON ca.owner = a JOIN c cb ON cb.owner = b)
+SELECT a, b, round(strength, 6) AS strength FROM e WHERE strength >= 0.9 UNION ALL SELECT b, a, round(strength, 6) FROM e WHERE strength >= 0.9""")
+def infer_equivalence(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "a string, b string")
+    return linking.equivalences(supplier_facts(spark, d), none, 0.9).select("a", "b", F.round("strength", 6).alias("strength"))
+
+
+@query(f"""WITH {COUNTED}, e AS (SELECT CASE WHEN ca.w < cb.w THEN a ELSE b END AS a, CASE WHEN ca.w < cb.w THEN b ELSE a END AS b, common / CAST(least(ca.w, cb.w) AS DOUBLE) AS strength FROM p JOIN c ca ON ca.owner = p.a JOIN c cb ON cb.owner = p.b)
+SELECT a, b, round(strength, 6) AS strength FROM e WHERE strength >= 0.97""")
+def infer_implication(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "a string, b string")
+    return linking.implications(supplier_facts(spark, d), none, 0.97).select("a", "b", F.round("strength", 6).alias("strength"))
+
+
+@query(f"SELECT DISTINCT {lnk(s('Trades'), 'x.b', 'y.b')} AS handle FROM {IN_NATION} x JOIN {DEALS} z ON z.a = x.a JOIN {SUPPLIES_IN} y ON y.a = z.b")
+def link_creation(spark: SparkSession, d: str) -> DataFrame:
+    """(Trades n m) for nations whose customers and suppliers deal."""
+    links = links_of(spark, d, in_nation, deals, supplied_in)
+    found = Compiler(spark, links).compile(And((rel("InNation", "$c", "$n"), rel("Deals", "$c", "$s"), rel("SuppliesIn", "$s", "$m"))))
+    return linking.instantiated(found, rel("Trades", "$n", "$m"), links).select("handle")
+
+
+# Relational mapping
+
+
+@query("""SELECT name FROM (SELECT unnest(['Predicate', 'Concept', 'Evaluation', 'region', 'region.r_name']) AS name
+UNION SELECT '"' || r_regionkey || '"' FROM region UNION SELECT '"' || r_name || '"' FROM region)""")
+def relational_nodes(spark: SparkSession, d: str) -> DataFrame:
+    nodes, _ = map_table(table(spark, d, "region"), TableSpec("region", "r_regionkey"))
+    return nodes.select("name")
+
+
+@query("""SELECT '(Evaluation (Predicate nation) (Concept (nation "' || n_nationkey || '")))' AS expr FROM nation
+UNION ALL SELECT '(Evaluation (Predicate (nation nation.n_name "' || n_name || '")) (Concept (nation "' || n_nationkey || '")))' FROM nation
+UNION ALL SELECT '(Evaluation (Predicate (nation.n_regionkey (Concept (region "' || n_regionkey || '")))) (Concept (nation "' || n_nationkey || '")))' FROM nation""")
+def relational_facts(spark: SparkSession, d: str) -> DataFrame:
+    _, links = map_table(table(spark, d, "nation"), TableSpec("nation", "n_nationkey", {"n_regionkey": "region"}))
+    return links.where("is_toplevel").select("expr")
+
+
+# Words of documents
+
+
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents)
+SELECT x.doc_id FROM w x JOIN w y ON x.doc_id = y.doc_id WHERE x.word = 'the' AND y.word = 'that'""")
+def words_together(spark: SparkSession, d: str) -> DataFrame:
+    """(and (Contains $s "the") (Contains $s "that")) over the words of all documents."""
+    words = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"))).alias("word")).where("word <> ''")
+    links = relation(words, "Contains", F.col("doc_id"), F.concat(F.lit('"'), F.col("word"), F.lit('"')))
+    found = Compiler(spark, links).compile(parse('(and (Contains $s "the") (Contains $s "that"))'))
+    names = table(spark, d, "documents").select("doc_id", node_column(F.col("doc_id").cast("string")).alias("v_s"))
+    return found.join(names, "v_s").select("doc_id")
+
+
+@query(f"SELECT x.a AS c, x.a || ' ' || x.b AS bound, x.h AS first FROM {IN_NATION} x")
+def answer_accessors(spark: SparkSession, d: str) -> DataFrame:
+    found = ask(spark, d, "(InNation $c $n)", (in_nation,))
+    return found.select(accessors.element(found, "$c").alias("c"), F.array_join(accessors.elements(found, "$*"), " ").alias("bound"), accessors.element(found, "_0").alias("first"))
+
+
+@query(f"SELECT {sym('c_name')} AS node, {lnk(sym('c_name'), sym('c_mktsegment'))} AS link FROM customer")
+def content_handles(spark: SparkSession, d: str) -> DataFrame:
+    name, segment = node_column(F.col("c_name")), node_column(F.col("c_mktsegment"))
+    return table(spark, d, "customer").select(name.alias("node"), link_column(F.array(name, segment)).alias("link"))
