@@ -77,7 +77,7 @@ def anchors(grams: set[str], threshold: float = THRESHOLD) -> set[str]:
     chosen: set[str] = set()
     count = Counter(w for g in grams for w in set(g.split()))
     for w in sorted(count, key=lambda w: (w in COMMON, len(w) < 3, -count[w], w)):
-        if len(touched) > spare * len(grams):
+        if len(touched) > spare * len(grams) + 1e-9:
             break
         chosen.add(w)
         touched |= {g for g in grams if w in g.split()}
