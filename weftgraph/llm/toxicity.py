@@ -1,8 +1,9 @@
 """Toxicity: a logistic regression over character n-grams scaled by naive Bayes log-count ratios.
 
 Features are the distinct n-grams (ORDERS) of a text's lower-case characters, runs of white space as one space and a
-space at either end. Counted over the training texts, those whose log-count ratio differs from 0 by enough standard
-errors are kept, at most MAX_FEATURES of the surest; a present feature has its log-count ratio as value. Weights minimise
+space at either end. Counted over the training texts, those whose shares of texts differ surely between the labels (by the
+root of the likelihood ratio statistic) are kept, at most MAX_FEATURES of the surest; a present feature has its log-count
+ratio as value. Weights minimise
 the regularised logistic loss on the driver, over a bounded sample: at most MAX_TRAIN texts of either label, taken in the
 order of a seeded hash of doc_id. The intercept is moved from the sample's share of label 1 to that of all training labels.
 
@@ -27,7 +28,7 @@ from .wordhash import mix64
 
 ORDERS = (3, 4, 5)
 HELD_OUT, THRESHOLD = 2, 0.3
-MAX_TRAIN, MAX_FEATURES, MIN_COUNT, MIN_Z, SEED = 4000, 4096, 4, 4.0, 11
+MAX_TRAIN, MAX_FEATURES, MIN_COUNT, MIN_ROOT, SEED = 4000, 4096, 4, 4.5, 11
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-3, 300
 #: Characters handled at a time.
 CHUNK = 1 << 19
@@ -172,10 +173,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
         return Model(*none, float(np.log(p / (1 - p))) if share else -50.0)
     p, q = (F.col(f"n{k}") + SMOOTHING for k in (1, 0))
     ratio = F.log(p / (sizes[1] + 2 * SMOOTHING)) - F.log(q / (sizes[0] + 2 * SMOOTHING))
-    surest = (
-        _counts(sample).where(F.col("n0") + F.col("n1") >= MIN_COUNT).withColumn("ratio", ratio).withColumn("z", F.abs("ratio") / F.sqrt(1 / p + 1 / q)).where(F.col("z") >= MIN_Z)
-        .orderBy(F.desc("z"), "gram").limit(max_features).select("gram", "ratio").toPandas()
-    )
+    both = sizes[0] + sizes[1]
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    held = F.col("n0") + F.col("n1")
+    statistic = sum((part(F.col(f"n{k}"), held * sizes[k] / both) + part(sizes[k] - F.col(f"n{k}"), (both - held) * sizes[k] / both) for k in (0, 1)), F.lit(0.0))
+    counted = _counts(sample).where(F.col("n0") + F.col("n1") >= MIN_COUNT).withColumns({"ratio": ratio, "root": F.sqrt(F.greatest(2 * statistic, F.lit(0.0)))})
+    surest = counted.where(F.col("root") >= MIN_ROOT).orderBy(F.desc("root"), "gram").limit(max_features).select("gram", "ratio").toPandas()
     if surest.empty:
         discard(sample)
         return Model(*none, float(np.log(share / (1 - share))))
