@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import discard, ship, stored
 from .wordhash import mix64
 
-ORDERS = (3, 4, 5)
+ORDERS = (4, 5, 6, 7)
 HELD_OUT, THRESHOLD = 2, 0.3
 MAX_TRAIN, MAX_FEATURES, MIN_COUNT, MIN_ROOT, SEED = 4000, 4096, 4, 4.5, 11
 SMOOTHING, PENALTY, STEPS = 1.0, 1e-3, 300
@@ -84,8 +84,10 @@ def distinct_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             h = _grams(codes, order)
             place = owner[: len(h)]
             whole = (place == owner[order - 1 : order - 1 + len(h)]) & (np.lib.stride_tricks.sliding_window_view(codes, order).min(axis=1) > 0) if len(h) else np.zeros(0, bool)
-            pairs = np.unique(np.rec.fromarrays([place[whole], h[whole]], names="place,gram"))
-            yield pairs["place"], pairs["gram"]
+            place, h = place[whole], h[whole]
+            # One 64-bit value a pair: equal pairs agree in it.
+            _, first = np.unique(h ^ mix64(place.astype(np.uint64) + np.uint64(1)), return_index=True)
+            yield place[first], h[first]
 
 
 class Lookup:
