@@ -19,7 +19,7 @@ DATA = Path(__file__).parent / "data"
 
 @pytest.fixture
 def engine(spark):
-    return Engine.from_config(spark, {"type": "file", "path": str(DATA / "animals.metta")})
+    return Engine.from_config(spark, {"type": "file", "path": str(DATA / "animals.txt")})
 
 
 def test_attention_after_a_query(engine):

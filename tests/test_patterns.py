@@ -15,7 +15,7 @@ DATA = Path(__file__).parent / "data"
 
 @pytest.fixture(scope="module")
 def kb(spark):
-    nodes, links = load_file(spark, str(DATA / "animals.metta"))
+    nodes, links = load_file(spark, str(DATA / "animals.txt"))
     return nodes.cache(), links.cache()
 
 

@@ -81,11 +81,11 @@ class Engine:
         return self._cache[key]
 
     def with_expressions(self, answers: DataFrame) -> DataFrame:
-        """answers with metta, a map of handles to their expressions."""
+        """answers with expressions, a map of handles to their expressions."""
         named = answers.withColumn("_row", F.monotonically_increasing_id()).persist()
         exprs = self.store.links.select("handle", "expr").unionByName(self.store.nodes.select("handle", F.col("name").alias("expr")))
         held = named.select("_row", F.explode(elements(answers, "*")).alias("handle")).join(exprs, "handle")
-        maps = held.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("handle", "expr"))).alias("metta"))
+        maps = held.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("handle", "expr"))).alias("expressions"))
         return named.join(maps, "_row", "left").drop("_row")
 
     def stream(self, query: Query | str | list[str], options: QueryOptions | None = None) -> Iterator[dict]:
