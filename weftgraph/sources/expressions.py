@@ -94,9 +94,15 @@ def as_links(rows: DataFrame) -> DataFrame:
     return rows.select("handle", "type", F.size("targets").alias("arity"), *[F.get("targets", F.lit(i)).alias(f"t{i}") for i in range(4)], "targets", "is_toplevel", "expr")
 
 
-def load_file(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """A file of one expression per line."""
-    return load_expressions(spark.read.text(path))
+def load_file(spark: SparkSession, path: str, multiline: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Files of one expression per line, or, with multiline, of expressions over any lines; such a file is read as a whole."""
+    return load_expressions(spark.read.text(path, wholetext=multiline))
+
+
+def statements(text: str) -> list[str]:
+    """The statements of an SQL file: parted by blank lines or lines of comment."""
+    parts = re.split(r"(?m)^[ \t]*(?:--.*)?$", text)
+    return [p.strip() for p in parts if p.strip()]
 
 
 def write_expressions(links: DataFrame, path: str, records_per_file: int = 1_000_000) -> None:

@@ -8,7 +8,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.handles import EXPRESSION, SYMBOL, escaped, link_column, node_column, sanitized
+from ..functions.handles import EXPRESSION, SYMBOL, escaped, link_column, md5, node_column, sanitized
 from .expressions import as_links
 
 ATOM = "array<struct<handle:string,type:string,name:string,targets:array<string>,is_toplevel:boolean,expr:string>>"
@@ -107,6 +107,20 @@ def map_query(spark: SparkSession, sql: str, specs: dict[str, TableSpec]) -> tup
     return nodes.dropDuplicates(["handle"]), links.dropDuplicates(["handle"])
 
 
+def synced(spark: SparkSession, folder: str, tables: dict[str, DataFrame], specs: list[TableSpec]) -> tuple[DataFrame, DataFrame]:
+    """nodes and links of all tables, written to folder once for each set of specs and only read after that."""
+    path = f"{folder}/{md5(repr(specs))}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/links/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        parts = [map_table(tables[s.name], s) for s in specs]
+        for i, name in enumerate(("nodes", "links")):
+            both = parts[0][i]
+            for p in parts[1:]:
+                both = both.unionByName(p[i])
+            both.dropDuplicates(["handle"]).write.mode("overwrite").parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/links")
+
+
 def referenced_rows(df: DataFrame, column: str, other: DataFrame, key: str) -> DataFrame:
     """The rows of another table that df's column refers to."""
     return other.join(df.select(F.col(column).alias(key)).distinct(), key, "left_semi")
