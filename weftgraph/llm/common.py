@@ -2,74 +2,20 @@
 
 from __future__ import annotations
 
-import io
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Separators of words, wherever a contract says words are `[^\x20\x09-\x0D]+`.
-WORD_BREAK = " \t\n\x0b\f\r"
+from ..runtime import discard, shared_dir, ship, stored
+
+__all__ = ["discard", "let", "shared_dir", "ship", "stored", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset (tests, one machine) a temporary folder takes its place.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: a cut of its lineage that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes what stored() wrote, once nothing will read it again."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
-
-
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package's modules to the executors, once per application, so that their Python finds them."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    held = io.BytesIO()
-    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(p.relative_to(top.parent)))
-    file = Path(tempfile.mkdtemp(prefix="weftgraph-")) / "weftgraph.zip"
-    file.write_bytes(held.getvalue())
-    spark.sparkContext.addPyFile(str(file))
-    _shipped.add(app)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, also where body uses it within lambdas."""
     return F.transform(F.array(value), body)[0]
@@ -78,8 +24,3 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words(text: Column) -> Column:
     """The array of a text's words, empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
-
-
-def own(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, so that extra columns of a caller's table can't clash with an operator's own."""
-    return df.select(*[df[n] for n in names])
