@@ -362,29 +362,29 @@ def attention_determiners(spark: SparkSession, d: str) -> DataFrame:
 # Inference and link creation
 
 
-def supplier_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers as predicates that hold of the nations they deliver to, weighted by their largest discount there."""
-    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy(F.col("l_suppkey").cast("string").alias("owner"), F.col("c_nationkey").cast("string").alias("key")).agg(F.round(F.max("l_discount") * 100).cast("long").alias("w"))
+def part_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as predicates that hold of the orders they are in, weighted by discount. An order has few parts, so pairs stay few."""
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_partkey").cast("string").alias("owner"), F.col("l_orderkey").cast("string").alias("key"))
+    return rows.agg((F.round(F.max("l_discount") * 100) + 1).cast("long").alias("w"))
 
 
-FACTS = "(SELECT CAST(l_suppkey AS VARCHAR) AS owner, CAST(c_nationkey AS VARCHAR) AS key, CAST(round(max(l_discount) * 100) AS BIGINT) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+FACTS = "(SELECT CAST(l_partkey AS VARCHAR) AS owner, CAST(l_orderkey AS VARCHAR) AS key, CAST(round(max(l_discount) * 100) + 1 AS BIGINT) AS w FROM lineitem GROUP BY 1, 2)"
 COUNTED = f"""f AS {FACTS}, c AS (SELECT owner, sum(w) AS w FROM f GROUP BY owner),
 p AS (SELECT x.owner AS a, y.owner AS b, sum(least(x.w, y.w)) AS common FROM f x JOIN f y ON x.key = y.key AND x.owner < y.owner GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {COUNTED}, e AS (SELECT a, b, common / CAST(ca.w + cb.w - common AS DOUBLE) AS strength FROM p JOIN c ca ON ca.owner = a JOIN c cb ON cb.owner = b)
-SELECT a, b, round(strength, 6) AS strength FROM e WHERE strength >= 0.9 UNION ALL SELECT b, a, round(strength, 6) FROM e WHERE strength >= 0.9""")
+SELECT a, b, round(strength, 6) AS strength FROM e WHERE strength >= 0.03 UNION ALL SELECT b, a, round(strength, 6) FROM e WHERE strength >= 0.03""")
 def infer_equivalence(spark: SparkSession, d: str) -> DataFrame:
     none = spark.createDataFrame([], "a string, b string")
-    return linking.equivalences(supplier_facts(spark, d), none, 0.9).select("a", "b", F.round("strength", 6).alias("strength"))
+    return linking.equivalences(part_facts(spark, d), none, 0.03).select("a", "b", F.round("strength", 6).alias("strength"))
 
 
 @query(f"""WITH {COUNTED}, e AS (SELECT CASE WHEN ca.w < cb.w THEN a ELSE b END AS a, CASE WHEN ca.w < cb.w THEN b ELSE a END AS b, common / CAST(least(ca.w, cb.w) AS DOUBLE) AS strength FROM p JOIN c ca ON ca.owner = p.a JOIN c cb ON cb.owner = p.b)
-SELECT a, b, round(strength, 6) AS strength FROM e WHERE strength >= 0.97""")
+SELECT a, b, round(strength, 6) AS strength FROM e WHERE strength >= 0.06""")
 def infer_implication(spark: SparkSession, d: str) -> DataFrame:
     none = spark.createDataFrame([], "a string, b string")
-    return linking.implications(supplier_facts(spark, d), none, 0.97).select("a", "b", F.round("strength", 6).alias("strength"))
+    return linking.implications(part_facts(spark, d), none, 0.06).select("a", "b", F.round("strength", 6).alias("strength"))
 
 
 @query(f"SELECT DISTINCT {lnk(s('Trades'), 'x.b', 'y.b')} AS handle FROM {IN_NATION} x JOIN {DEALS} z ON z.a = x.a JOIN {SUPPLIES_IN} y ON y.a = z.b")
