@@ -71,7 +71,7 @@ class CachedTokenizer:
                 first, *rest = text.split(" ")
                 chunks = [first, *[" " + x for x in rest]]
             cut.append(chunks)
-            missing |= set(chunks) - known.keys()
+            missing |= set(chunks).difference(known)
         todo = []
         for x in missing:
             if x in older:
