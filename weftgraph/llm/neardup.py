@@ -130,8 +130,11 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     )
     keys = nodes.select("node", F.explode("bands").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
-    edges = keys.join(stored(buckets, "buckets"), "key").where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    parts = components(edges)
+    # A text's buckets are tied through the least of their least members, so ties are between few least members only.
+    tied = keys.join(stored(buckets, "buckets"), "key").groupBy("node").agg(F.min("least").alias("center"), F.collect_set("least").alias("centers"))
+    tied = stored(tied, "ties")
+    edges = tied.select(F.col("center").alias("a"), F.explode("centers").alias("b")).where(F.col("a") != F.col("b")).distinct()
+    parts = tied.select("node", "center").join(components(edges).withColumnRenamed("node", "center"), "center", "left").select("node", F.coalesce("component", "center").alias("component"))
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     chunked = parts.join(sizes, "component").select("node", "component", F.ceil(F.col("n") / block).cast("int").alias("m"))
     chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
@@ -140,10 +143,10 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         "node", "component", "m", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
     )
     wanted = stored(nodes.join(tasks, "node").select("digest", "first_id", "copies", "node", "component", "m", "chunk", "low", "high"), "tasks")
-    # One text per digest: of its rows, one with the least doc_id.
+    # One text per digest: of its rows, one with the least doc_id. Texts are shuffled at every size, as the list grows with them.
     texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "doc_id", "text")
     needed = wanted.select("digest", "first_id").distinct()
-    picked = texts.join(needed, (texts["digest"] == needed["digest"]) & texts["doc_id"].eqNullSafe(needed["first_id"]), "left_semi").dropDuplicates(["digest"]).select("digest", "text")
+    picked = texts.join(needed.hint("merge"), (texts["digest"] == needed["digest"]) & texts["doc_id"].eqNullSafe(needed["first_id"]), "left_semi").dropDuplicates(["digest"]).select("digest", "text")
     inputs = wanted.join(picked, "digest").select("component", "low", "high", "chunk", "m", "node", "copies", "text")
     task_key = ["component", "low", "high"]
 
