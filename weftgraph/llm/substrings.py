@@ -107,17 +107,23 @@ def key_runs(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFr
 def compacted(runs: DataFrame) -> DataFrame:
     """kind, path (the kind of its first run) and offset in edges from there, for the kinds of runs (node, start, n, kind).
 
-    A kind follows another if it begins where that one ends in some text. Links that neither fork nor join are
-    followed to the path's first run by pointer jumping, one join a round; circles end as paths of single runs.
+    A kind follows another if it begins where that one ends in some text. Links that neither fork nor join are followed
+    back along every text first, then from text to text by pointer jumping, one join a round. A circle's offsets don't
+    add up, so its runs later stand for themselves.
     """
-    follow = Window.partitionBy("node").orderBy("start")
-    near = runs.select("kind", "start", "n", F.lead("kind").over(follow).alias("next"), F.lead("start").over(follow).alias("next_start"))
-    links = near.where((F.col("next_start") == F.col("start") + F.col("n")) & (F.col("next") != F.col("kind"))).select("kind", "next", "n").distinct()
-    forward = links.groupBy("kind").agg(F.count(F.lit(1)).alias("out"), F.first("next").alias("next"), F.first("n").alias("n")).where("out = 1")
-    back = links.groupBy("next").agg(F.count(F.lit(1)).alias("in")).where("in = 1").select("next")
-    single = forward.join(back, "next").select(F.col("next").alias("kind"), F.col("kind").alias("above"), F.col("n").alias("offset"))
-    kinds = runs.select("kind").distinct()
-    now = stored(kinds.join(single, "kind", "left").select("kind", F.coalesce("above", "kind").alias("above"), F.coalesce(F.col("offset").cast("long"), F.lit(0).cast("long")).alias("offset")), "paths")
+    by = Window.partitionBy("node").orderBy("start")
+    near = runs.select("kind", "node", "start", F.lag("kind").over(by).alias("above"), F.lag(F.col("start") + F.col("n")).over(by).alias("above_end"))
+    near = near.withColumn("follows", F.coalesce((F.col("above_end") == F.col("start")) & (F.col("above") != F.col("kind")), F.lit(False)))
+    links = near.where("follows").select("above", "kind").distinct()
+    forks = links.groupBy("above").agg(F.count(F.lit(1)).alias("out"), F.first("kind").alias("kind")).where("out = 1")
+    joins = links.groupBy("kind").agg(F.count(F.lit(1)).alias("in")).where("in = 1")
+    single = forks.join(joins, "kind").select("kind", F.lit(True).alias("single"))
+    # Along each text, a stretch of such links begins at its first run; of all texts, the one that reaches back farthest counts.
+    marked = near.join(single, "kind", "left").withColumn("stretch", F.sum(F.when(F.col("follows") & F.col("single"), 0).otherwise(1)).over(by))
+    within = Window.partitionBy("node", "stretch").orderBy("start")
+    reach = marked.select("kind", F.first("kind").over(within).alias("above"), (F.col("start") - F.first("start").over(within)).cast("long").alias("offset"))
+    reach = reach.groupBy("kind").agg(F.max(F.struct("offset", "above")).alias("r")).select("kind", "r.above", F.when(F.col("r.above") == F.col("kind"), F.lit(0).cast("long")).otherwise(F.col("r.offset")).alias("offset"))
+    now = stored(reach, "paths")
     for _ in range(MAX_JUMPS):
         up = now.select(F.col("kind").alias("above"), F.col("above").alias("higher"), F.col("offset").alias("more"))
         then = stored(now.join(up, "above").select("kind", F.col("higher").alias("above"), (F.col("offset") + F.col("more")).alias("offset"), (F.col("higher") != F.col("above")).alias("moved")), "paths")
