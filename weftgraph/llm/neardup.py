@@ -220,3 +220,17 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recal
     rows = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).join(kept, "_digest")
     single = rows.where(F.col("has_grams") & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["_digest"])
     return single.unionByName(rows.where(~F.col("has_grams"))).select(docs.columns)
+
+
+#: The same over a view documents: every pair that shares an n-gram, and classes by reachability.
+NEARDUP_SQL = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, md5(array_to_string(w[i:i + {GRAM - 1}], ' ')) AS g FROM (SELECT r, w, unnest(range(1, greatest(2, len(w) - {GRAM - 2}))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.r = x JOIN n ny ON ny.r = y WHERE c >= {THRESHOLD} * (nx.n + ny.n - c) - 1e-6),
+reach(x, y) AS (SELECT r, r FROM d UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+class AS (SELECT x, min(doc_id) AS class_id FROM reach JOIN d ON d.r = y GROUP BY x),
+links AS (SELECT x, count(*) AS n_links, count(DISTINCT CASE WHEN a.t <> b.t THEN b.t END) AS n_text_links FROM l JOIN d a ON a.r = x JOIN d b ON b.r = y GROUP BY x)
+SELECT d.doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(n_text_links, 0) AS BIGINT) AS n_text_links
+FROM d JOIN class ON class.x = d.r LEFT JOIN links ON links.x = d.r"""

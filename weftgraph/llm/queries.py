@@ -65,5 +65,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LLM_SQL: dict[str, str] = {
     "op1_license_scan": licenses.license_sql(),
     "op3_mixing": mixing.mix_sql(),
+    "op7_neardup": neardup.NEARDUP_SQL,
     "op8_warc": warc.WARC_SQL,
+    "op9_substrings": substrings.SUBSTRINGS_SQL,
 }
