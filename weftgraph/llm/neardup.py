@@ -216,10 +216,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """docs with one row of each class, that of the least doc_id; texts without n-grams all stay."""
     _, named = text_classes(docs.select("doc_id", "text"), threshold, recall, block)
-    kept = named.where(F.col("keeps") | ~F.col("has_grams")).select(F.col("digest").alias("_digest"), "first_id", "has_grams")
+    kept = named.where(F.col("keeps") | ~F.col("has_grams")).select(F.col("digest").alias("_digest"), F.col("first_id").alias("_first_id"), F.col("has_grams").alias("_has_grams"))
     rows = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).join(kept, "_digest")
-    single = rows.where(F.col("has_grams") & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["_digest"])
-    return single.unionByName(rows.where(~F.col("has_grams"))).select(docs.columns)
+    # Copies with the same doc_id are one row; rows without n-grams are told apart by a number. The join has them side by side.
+    rows = rows.where(~F.col("_has_grams") | F.col("doc_id").eqNullSafe(F.col("_first_id")))
+    rows = rows.withColumn("_each", F.when(F.col("_has_grams"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["_digest", "_each"]).select(docs.columns)
 
 
 #: The same over a view documents: every pair that shares an n-gram, and classes by reachability.
