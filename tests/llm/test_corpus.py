@@ -99,6 +99,26 @@ def test_substrings(docs_of):
     assert substrings.substring_dedup(docs_of(texts).limit(0)).count() == 0
 
 
+def periodic(seed):
+    rng = random.Random(seed)
+    words = lambda tag, n: [f"{tag}{seed}_{rng.randint(0, 10**9)}" for _ in range(n)]
+    # A sentence of p words repeated on its own, at a distance of p from 1 to beyond the window, each in a text of its own.
+    yield from (" ".join([*words("a", 7), *words("s", p) * times, *words("z", 5)]) for p in (1, 5, 19, 20, 21, 25, 34, 35, 40) for times in (2, 3, 4))
+    # Rows of a table with a field that changes in turn or in cycles: runs of one key with equal edges rows apart.
+    for width, cycle in ((10, 2), (18, 2), (19, 2), (9, 3), (7, 5), (12, 4)):
+        row, field = words("r", width), words("f", cycle)
+        yield " ".join(w for i in range(4 * cycle + 3) for w in [*row, field[i % cycle]])
+
+
+def test_substrings_within_a_run(docs_of):
+    texts = list(periodic(3))
+    got = Counter(tuple(r) for r in substrings.substring_dedup(docs_of(texts)).collect())
+    assert got == substrings_by_force(texts, range(len(texts)))
+    sentence = " ".join(f"only{i}" for i in range(20))
+    got = substrings.substring_dedup(docs_of([" ".join([sentence] * 3)])).first()
+    assert (got["n_words"], got["n_removed"]) == (60, 60)
+
+
 def test_word_hashes():
     rng = random.Random(5)
     for n in (1, 2, 5, 35):

@@ -43,12 +43,16 @@ class Runs:
         self.keys = keys[self.starts]
         self.ends = np.append(self.starts[1:], len(keys))
 
-    def inner_repeats(self, period: int) -> np.ndarray:
-        """Whether a run holds an edge twice: then the text repeats with a period below the edges that share a key."""
-        twice = np.zeros(len(self.edges), bool)
-        for p in range(1, min(period, len(self.edges))):
-            twice[p:] |= self.edges[p:] == self.edges[:-p]
-        return np.logical_or.reduceat(twice, self.starts) if len(self.starts) else np.zeros(0, bool)
+    def inner_repeats(self) -> np.ndarray:
+        """Whether a run holds an edge twice, at any distance: a key goes on as long as its k-mer comes back soon enough."""
+        twice = np.zeros(len(self.starts), bool)
+        in_order = np.sort(self.edges)
+        if (in_order[1:] == in_order[:-1]).any():
+            run = np.repeat(np.arange(len(self.starts)), self.ends - self.starts)
+            by = np.lexsort((self.edges, run))
+            edge, run = self.edges[by], run[by]
+            twice[run[1:][(edge[1:] == edge[:-1]) & (run[1:] == run[:-1])]] = True
+        return twice
 
 
 def _runs(texts: list[str | None], window: int, kmer: int) -> Iterator[tuple[int, int, Runs]]:
@@ -72,7 +76,7 @@ def text_keys(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFr
             n, keys, twice = [0] * len(texts), [np.zeros(0, np.int64)] * len(texts), [np.zeros(0, np.int64)] * len(texts)
             for place, count, runs in _runs(texts, window, kmer):
                 kinds, first, times = np.unique(runs.keys, return_index=True, return_counts=True)
-                inner = np.unique(runs.keys[runs.inner_repeats(window - kmer + 1)])
+                inner = np.unique(runs.keys[runs.inner_repeats()])
                 n[place], keys[place] = count, kinds.view(np.int64)
                 twice[place] = np.union1d(kinds[times > 1], inner).view(np.int64)
             shas = [_kept_hash(t.encode("utf-8", "surrogatepass").split()) for t in texts]
@@ -93,7 +97,7 @@ def key_runs(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFr
                 rows = []
                 for place, _, runs in _runs(batch["text"].iloc[at : at + 200].tolist(), window, kmer):
                     mine = np.isin(runs.keys, np.asarray(wanted[at + place]).view(U))
-                    inner = runs.inner_repeats(window - kmer + 1)
+                    inner = runs.inner_repeats()
                     for r in np.flatnonzero(mine).tolist():
                         edges = runs.edges[runs.starts[r] : runs.ends[r]]
                         place_mix = mix64(edges + np.arange(1, len(edges) + 1, dtype=U) * U(0x9E3779B97F4A7C15))
