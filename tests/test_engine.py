@@ -8,9 +8,11 @@ from weftgraph.functions.handles import link_handle, node_handle
 from weftgraph.operators import accessors, linking
 from weftgraph.operators.attention import Attention, context_lines
 from weftgraph.operators.evolution import Evolution, fitness_importance, substituted
+from weftgraph.operators.paths import find_paths
 from weftgraph.operators.store import SKIP, THROW, Store, federated
 from weftgraph.plans.compiler import QueryOptions
 from weftgraph.plans.patterns import parse
+from weftgraph.sources.expressions import NODES, as_links
 from weftgraph.sources.relational import TableSpec, map_table, referenced_rows
 from pathlib import Path
 
@@ -103,6 +105,27 @@ def test_store_rules(spark, engine):
         store.add_links(missing, check_targets=True)
 
 
+def test_paths_of_any_length(spark):
+    edges = spark.createDataFrame([(f"l{i}", f"n{i}", f"n{i + 1}", 0.0) for i in range(33)], "handle string, src string, dst string, importance double").coalesce(1)
+    assert [r["links"] for r in find_paths(edges, "n0", "n33").collect()] == [[f"l{i}" for i in range(33)]]
+    with pytest.raises(ValueError):
+        find_paths(edges, "n0", "n33", max_hops=2)
+
+
+@pytest.mark.parametrize(("job", "depth"), [("types", 33), ("incoming", 65), ("targets", 65)])
+def test_deep_nesting(spark, job, depth):
+    names = ["leaf", *(f"link{i}" for i in range(depth))]
+    rows = [(names[i + 1], "Expression", [names[i]], True, None) for i in range(depth)]
+    links = as_links(spark.createDataFrame(rows, "handle string, type string, targets array<string>, is_toplevel boolean, expr string").coalesce(1)).cache()
+    store = Store(spark.createDataFrame([("leaf", "Symbol", "leaf", False)], NODES).coalesce(1).cache(), links)
+    if job == "types":
+        assert store.composite_types().count() == depth
+    else:
+        end = spark.createDataFrame([("leaf" if job == "incoming" else names[-1],)], "handle string")
+        cut = store.delete(end, with_incoming=job == "incoming", with_targets=job == "targets")
+        assert (cut.nodes.count(), cut.links.count()) == (0, 0)
+
+
 def test_path_hops(engine):
     found = engine.query('(chain 0 1 2 "chimp" "ent" (Similarity $a $b))').withColumn("id", F.lit(1))
     row = accessors.path_hops(found.limit(1), engine.store.links, ">0_1_2", "id").first()

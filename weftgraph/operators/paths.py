@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,14 +16,15 @@ def path_importance(total: Column, n: Column, compat_average: bool) -> Column:
 
 
 def find_paths(
-    edges: DataFrame, source: str | None, target: str | None, incomplete: bool = False, all_prefixes: bool = False, max_hops: int = 32, compat_average: bool = True
+    edges: DataFrame, source: str | None, target: str | None, incomplete: bool = False, all_prefixes: bool = False, max_hops: int | None = None, compat_average: bool = True
 ) -> DataFrame:
     """links (in source-to-target order), first, last, importance of the simple paths over edges (handle, src, dst, importance).
 
     Between two known ends: all paths; a path that reaches the far end isn't extended. With incomplete, or from one known
     end: the dead ends too, and of each extended path its most important continuation (ties to the smaller
     link), or every continuation with all_prefixes. Self-loops are on no simple path and are left out. Every hop is a join with
-    the edges, stored in the shared folder; the search ends when no path can grow or after max_hops.
+    the edges, stored in the shared folder; the search ends when no path can grow, which simple paths come to by themselves, and raises if
+    some still can after max_hops.
     """
     edges = stored(edges.where(F.col("src") != F.col("dst")), "edges")
     backward = source is None
@@ -31,7 +34,7 @@ def find_paths(
     empty = F.array().cast("array<string>")
     front = edges.limit(1).select(empty.alias("links"), F.array(F.lit(start)).alias("nodes"), F.lit(0.0).alias("total")) if start else None
     out: list[DataFrame] = []
-    for _ in range(max_hops):
+    for hop in count(1):
         here = F.element_at("nodes", -1)
         grown = front.join(step, (here == F.col("_near")) & ~F.array_contains("nodes", F.col("_far")))
         grown = stored(grown.select(F.col("links").alias("before"), F.array_append("links", F.col("_link")).alias("links"), F.array_append("nodes", F.col("_far")).alias("nodes"), (F.col("total") + F.col("_importance")).alias("total")), "paths")
@@ -51,6 +54,8 @@ def find_paths(
         front = grown.where(~done).select(shape)
         if not front.limit(1).count():
             break
+        if hop == max_hops:
+            raise ValueError("paths are longer than max_hops")
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)

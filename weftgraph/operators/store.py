@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.handles import md5
-from ..runtime import stored
+from ..runtime import stored, stored_together
 from ..sources.expressions import LINKS, NODES, as_links
 
 REPLACE, THROW, SKIP = "replace", "throw_if_exists", "skip_if_exists"
@@ -71,28 +71,24 @@ class Store:
                 return found.distinct()
         raise ValueError("links are nested too deeply")
 
-    def composite_types(self, max_depth: int = 32) -> DataFrame:
+    def composite_types(self) -> DataFrame:
         """handle, composite_type, composite_type_hash of every link, from the innermost outwards."""
         done = stored(self.nodes.select("handle", F.md5("type").alias("h")), "types")
-        out: list[DataFrame] = []
+        out, hashes = [], [done]
         left = self.links.select("handle", "type", "targets")
-        for _ in range(max_depth):
-            if not left.limit(1).count():
-                break
+        while left.limit(1).count():
             parts = left.select("handle", "type", F.size("targets").alias("n"), F.posexplode("targets").alias("pos", "target")).join(done.withColumnRenamed("handle", "target"), "target")
             whole = parts.groupBy("handle", "type", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "h"))).alias("parts")).where(F.size("parts") == F.col("n"))
             now = stored(whole.select("handle", F.concat(F.array(F.md5("type")), F.transform("parts", lambda p: p["h"])).alias("composite_type")).withColumn("composite_type_hash", F.md5(F.array_join("composite_type", " "))), "types")
             if not now.limit(1).count():
                 raise ValueError("links have targets that the store doesn't hold")
             out.append(now)
-            done = done.unionByName(now.select("handle", F.col("composite_type_hash").alias("h")))
+            hashes.append(stored(now.select("handle", F.col("composite_type_hash").alias("h")), "types"))
+            done = stored_together(hashes)
             left = stored(left.join(now, "handle", "left_anti"), "types")
         if not out:
             return self.links.select("handle", F.array("type").alias("composite_type"), F.col("type").alias("composite_type_hash")).limit(0)
-        df = out[0]
-        for more in out[1:]:
-            df = df.unionByName(more)
-        return df
+        return stored_together(out)
 
     # Writing: a new store each time
 
@@ -109,28 +105,30 @@ class Store:
         known = self.nodes.select("handle").unionByName(self.links.select("handle")).unionByName(new.select("handle"))
         return new.select(F.explode("targets").alias("handle")).distinct().join(known, "handle", "left_anti")
 
-    def delete(self, handles: DataFrame, with_incoming: bool = False, with_targets: bool = False, max_depth: int = 64) -> Store:
+    def delete(self, handles: DataFrame, with_incoming: bool = False, with_targets: bool = False) -> Store:
         """Without handles (handle). An atom with incoming links is refused unless with_incoming, which takes those links too,
         and theirs. with_targets also takes targets that no link holds any more, downwards."""
         gone = stored(handles.select("handle").distinct(), "gone")
         if not with_incoming:
             blocked = self.incoming(gone).join(gone, "handle", "left_anti").select(F.col("target").alias("handle")).distinct()
             gone = stored(gone.join(blocked, "handle", "left_anti"), "gone")
-        front = gone
-        for _ in range(max_depth if with_incoming else 0):
+        front, parts = gone, [gone]
+        while with_incoming:
             front = stored(self.incoming(front).select("handle").distinct().join(gone, "handle", "left_anti"), "gone")
             if not front.limit(1).count():
                 break
-            gone = gone.unionByName(front)
+            parts.append(front)
+            gone = stored_together(parts)
         front = gone
-        for _ in range(max_depth if with_targets else 0):
+        while with_targets:
             kept = self.links.join(gone, "handle", "left_anti")
             below = self.links.join(front, "handle", "left_semi").select(F.explode("targets").alias("handle")).distinct()
             held = kept.select(F.explode("targets").alias("handle")).distinct()
             front = stored(below.join(held, "handle", "left_anti").join(gone, "handle", "left_anti"), "gone")
             if not front.limit(1).count():
                 break
-            gone = gone.unionByName(front)
+            parts.append(front)
+            gone = stored_together(parts)
         return Store(self.nodes.join(gone, "handle", "left_anti"), self.links.join(gone, "handle", "left_anti"))
 
     def re_clustered(self, path: str, files: int) -> Store:

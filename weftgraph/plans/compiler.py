@@ -23,7 +23,7 @@ class QueryOptions:
 
     focus_strictness s: 0 keeps all matches of a template, 1 the best, else the best max(1, round(s * n)).
     greatest: an AND's importance is its clauses' greatest, not their average. compat_path_average: a path of k > 1 links
-    divides its importance by k + 1.
+    divides its importance by k + 1. max_hops: a search whose paths can still grow then raises.
     """
 
     unique_assignment: bool = False
@@ -38,7 +38,7 @@ class QueryOptions:
     populate_expressions: bool = False
     greatest: bool = False
     compat_path_average: bool = True
-    max_hops: int = 32
+    max_hops: int | None = None
     order_by: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:

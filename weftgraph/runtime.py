@@ -33,6 +33,11 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def stored_together(parts: list[DataFrame]) -> DataFrame:
+    """The union of what stored() returned, as one scan however many parts there are."""
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p._stored_at for p in parts])
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing will read it again."""
     path = getattr(df, "_stored_at", None)
