@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,15 +30,49 @@ TOKENIZER = "byte_bpe_50k.json"
 #: Free tokens up to which a bin counts as nearly full; items of a block; partitions merged into one.
 SLACK, BLOCK, FAN_IN = 4, 100_000, 8
 FIELDS = ("doc_id", "piece", "start", "length", "ids_crc32")
-CACHE_ENTRIES = 500_000
+#: Entries of each generation of a cache; texts encoded together; characters of a text handled at a time.
+CACHE_ENTRIES, TEXTS, SEGMENT = 500_000, 256, 1 << 20
+#: Below it, what is a letter or a digit has long been settled, so that two libraries cut pre-tokens alike.
+SETTLED = "\u0250"
+#: Marks that often end a word and join to one pre-token.
+ENDS = ".,;:!?"
+
+
+class Learned(dict):
+    """Bytes by key, made when first asked for, in two generations: a full one becomes the older, and what is used again moves back."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        if len(self) > CACHE_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+
+
+def byte_names() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones of Latin-1 as they are, the others in order from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 0x100 + i for i, b in enumerate(others)}
 
 
 class CachedTokenizer:
     """Ids of a text as little-endian unsigned 32-bit bytes, by a byte-level BPE whose pre-tokens don't see their surroundings.
 
-    A text is cut before each single space; without neighbouring white-space characters no pre-token crosses such a
-    cut, so the ids of the chunks, which repeat, join to the text's ids. Other texts are cut by the pre-token pattern, and
-    texts that hold an added token are encoded as they are.
+    A text is cut before spaces that follow something other than white space; no pre-token of the pattern crosses such a
+    cut, so the ids of the chunks, which repeat, join to the text's ids. A chunk of settled characters that isn't known
+    is cut into pre-tokens, which repeat more, and the model encodes those one by one; other chunks, and texts that hold
+    an added token, are encoded as they are.
     """
 
     def __init__(self, path: str, pattern: str) -> None:
@@ -45,41 +80,52 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.normalizer is not None:
+            raise ValueError("the tokenizer changes texts before it cuts them")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pre_tokens = regex.compile(pattern)
-        self.two_spaces = re.compile(r"\s\s")
-        #: Two generations of chunks: when the younger is full it becomes the older, and what is used again moves back.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.names = byte_names()
+        self.near_space = re.compile(r"\s(?: |(?<= )\s)")
+        self.cut = re.compile(r"(?<=\S) ")
+        self.chunks, self.parts = Learned(self._chunk), Learned(self._part)
+
+    def _encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(part.encode().decode("latin-1").translate(self.names))]).tobytes()
+
+    def _chunk(self, rest: str) -> bytes:
+        """The ids of a chunk of a space and the rest."""
+        if not (rest.isascii() or max(rest) < SETTLED):
+            return self._encoded(" " + rest)
+        word = rest.rstrip(ENDS)
+        if word.isalpha():
+            return self.parts[" " + word] + self.parts[rest[len(word) :]] if len(word) < len(rest) else self.parts[" " + word]
+        return b"".join([self.parts[p] for p in self.pre_tokens.findall(" " + rest)])
+
+    def _segment(self, text: str) -> bytes:
+        first, *chunks = self.cut.split(text) if self.near_space.search(text) else text.split(" ")
+        return self._encoded(first) + b"".join(map(self.chunks.__getitem__, chunks))
+
+    def _ids(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self._encoded(text)
+        if len(text) <= SEGMENT:
+            return self._segment(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = self.cut.search(text, at + SEGMENT)
+            end = cut.start() if cut else len(text)
+            # A later segment begins with a space, so its first chunk is empty and the space is its next chunk's.
+            out.append(self._segment(text[at:end]))
+            at = end
+        return b"".join(out)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        cut: list[list[str] | None] = []
-        missing: set[str] = set()
-        for text in texts:
-            if any(t in text for t in self.added):
-                cut.append(None)
-                continue
-            if self.two_spaces.search(text):
-                chunks = self.pre_tokens.findall(text)
-            else:
-                first, *rest = text.split(" ")
-                chunks = [first, *[" " + x for x in rest]]
-            cut.append(chunks)
-            missing |= set(chunks).difference(known)
-        todo = []
-        for x in missing:
-            if x in older:
-                known[x] = older[x]
-            else:
-                todo.append(x)
-        known.update(zip(todo, self._encoded(todo), strict=True))
-        return [self._encoded([text])[0] if chunks is None else b"".join([known[x] for x in chunks]) for text, chunks in zip(texts, cut, strict=True)]
+        self.chunks.turn()
+        self.parts.turn()
+        return [self._ids(t) for t in texts]
 
 
 _tokenizers: dict[str, CachedTokenizer] = {}
@@ -115,11 +161,11 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = tokenizer_of(path)
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                texts = [t or "" for t in part["text"]]
-                rows = [(d, *p) for d, ids in zip(part["doc_id"], tokenizer.encode(texts), strict=True) for p in pieces_of(ids + end, capacity)]
-                yield pd.DataFrame(rows, columns=list(FIELDS)).astype({"doc_id": "Int64"})
+            texts, rows = [t or "" for t in batch["text"]], []
+            for at in range(0, len(texts), TEXTS):
+                for d, ids in zip(batch["doc_id"].iloc[at : at + TEXTS], tokenizer.encode(texts[at : at + TEXTS]), strict=True):
+                    rows += [(d, *p) for p in pieces_of(ids + end, capacity)]
+            yield pd.DataFrame(rows, columns=list(FIELDS)).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
