@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from ..runtime import discard, shared_dir, ship, stored
 
-__all__ = ["discard", "let", "shared_dir", "ship", "stored", "table", "words"]
+__all__ = ["discard", "fresh", "join_hot", "let", "shared_dir", "ship", "stored", "table", "words"]
+
+#: A key is hot if it holds more than this share of all rows, so hot keys are never more than its inverse.
+HOT_SHARE = 0.001
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,3 +27,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def words(text: Column) -> Column:
     """The array of a text's words, empty for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """names, each with underscores before it until no column of taken is called so, in any case of letters."""
+    lower, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name = "_" + name
+        lower.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, on: list[str], times: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, which hold a row per key and in times how many rows have it, of total (times is dropped).
+
+    Facts of hot keys, at most 1 / HOT_SHARE, are broadcast, so that rows of such a key stay where they are; the others
+    are joined by shuffle. how: inner or left.
+    """
+    hot = facts.where(F.col(times) > total * HOT_SHARE).drop(times)
+    if not facts.where(F.col(times) > total * HOT_SHARE).limit(1).count():
+        return rows.join(facts.drop(times), on, how)
+    cold = facts.where(F.col(times) <= total * HOT_SHARE).drop(times)
+    names = F.broadcast(hot.select(*on))
+    return rows.join(F.broadcast(hot), on).unionByName(rows.join(names, on, "left_anti").join(cold, on, how))

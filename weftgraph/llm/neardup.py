@@ -1,11 +1,17 @@
 r"""N-gram Jaccard join by MinHash banding: all documents of similarity THRESHOLD or more are linked.
 
 Words are `[^\x20\x09-\x0D]+`, unchanged; a text's set is its distinct five-word n-grams, or all its words as one n-gram
-if it has fewer. Equal texts are one node, weighted by its copies, so copies are never paired. Band and row counts are
-chosen for the target recall at the threshold. Band hashes are shuffled; each bucket ties its members to its least one,
-which gives components that hold every candidate pair. A component's texts meet in tasks of bounded size, a task for
-each pair of its chunks if it has more texts than one block, and there every pair of the task is verified on the full
-sets by counting shared n-grams. Tasks give links per text and edges of a spanning forest, never all pairs.
+if it has fewer. N-grams compare by 64-bit hashes. Equal texts are one node, weighted by its copies, so copies are never
+paired. Band and row counts are chosen for the target recall at the threshold. Band hashes are shuffled; texts of one
+bucket are candidates of each other, and each bucket ties its members to its least one, which parts the texts into
+components that no candidate pair leaves.
+
+Candidates are verified on the full sets, by counting shared n-grams in tasks of bounded size. A component that has no
+more pairs than its buckets have together, as groups of near copies have, is verified as a whole, so that no pair comes
+twice; any other component, as dissimilar texts chained by chance, is verified bucket by bucket, and a pair counts in
+the first band that it shares. So the work is never more than that of the candidate pairs. What is larger than a block
+takes a task for each pair of its blocks. Tasks give links per text and edges of a spanning forest, never pairs, and
+classes are the components of verified links.
 
 Null, empty and blank texts have no n-grams, hence no links, and are classes of their own. A class's id is its least
 doc_id. Repeated rows are copies. Other columns of the input play no part.
@@ -21,13 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ship, stored
+from .common import discard, fresh, join_hot, ship, stored
 from .graphs import components
 from .wordhash import U, batched, gram_hashes, mix64, word_hashes
 
 GRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.99999, 160
 #: Texts of one block and n-grams counted at a time when a task verifies its pairs; a task holds two blocks at most.
 BLOCK, COLUMNS = 400, 2048
+#: Linked pairs whose bands are compared at a time.
+PAIRS = 1 << 16
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -82,8 +90,9 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text").mapInPandas(run, "doc_id long, digest string, bands array<long>")
 
 
-def _verify(names: np.ndarray, weights: np.ndarray, side: np.ndarray, texts: list[str], threshold: float) -> pd.DataFrame:
-    """node, root, text_links, links of one task. side: 0, or 0 and 1 if only pairs of both sides are asked for."""
+def _verify(names: np.ndarray, weights: np.ndarray, side: np.ndarray, texts: list[str], threshold: float, bands: np.ndarray | None = None, band: int = 0) -> pd.DataFrame:
+    """node, root, text_links, links of one task. side: 0, or 0 and 1 if only pairs of both sides are asked for. With
+    bands, the band hashes by text, only pairs whose first shared band is band are asked for."""
     sets = [np.unique(grams_of(word_hashes(t.encode("utf-8", "surrogatepass")))) for t in texts]
     n, sizes = len(sets), np.array([len(s) for s in sets])
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), sizes)
@@ -105,6 +114,11 @@ def _verify(names: np.ndarray, weights: np.ndarray, side: np.ndarray, texts: lis
     if side.any():
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
+    if bands is not None:
+        a, b = np.nonzero(linked)
+        for at in range(0, len(a), PAIRS):
+            x, y = a[at : at + PAIRS], b[at : at + PAIRS]
+            linked[x, y] = (bands[x] == bands[y]).argmax(axis=1) == band
     root = np.arange(n)
     for i in range(n):  # each unvisited text spreads over what it is linked to
         if root[i] == i and linked[i].any():
@@ -124,39 +138,48 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     ship(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     marks = stored(sketches(docs, bands, rows), "sketches")
-    nodes = stored(
-        marks.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
-        "nodes",
-    )
-    keys = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "least")
+    found = marks.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    nodes = stored(found.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    buckets = stored(keys.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = stored(join_hot(keys, buckets.withColumn("times", F.col("n")), ["band", "key"], "times", keys.count()), "members")
     # A text's buckets are tied through the least of their least members, so ties are between few least members only.
-    tied = keys.join(stored(buckets, "buckets"), "key").groupBy("node").agg(F.min("least").alias("center"), F.collect_set("least").alias("centers"))
-    tied = stored(tied, "ties")
+    tied = stored(members.groupBy("node").agg(F.min("least").alias("center"), F.collect_set("least").alias("centers")), "ties")
     edges = tied.select(F.col("center").alias("a"), F.explode("centers").alias("b")).where(F.col("a") != F.col("b")).distinct()
-    parts = tied.select("node", "center").join(components(edges).withColumnRenamed("node", "center"), "center", "left").select("node", F.coalesce("component", "center").alias("component"))
+    tie = components(edges)
+    parts = stored(tied.select("node", "center").join(tie.withColumnRenamed("node", "center"), "center", "left").select("node", F.coalesce("component", "center").alias("component")), "parts")
     sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    chunked = parts.join(sizes, "component").select("node", "component", F.ceil(F.col("n") / block).cast("int").alias("m"))
-    chunked = chunked.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-    # A task for each pair of chunks (low <= high); a chunk takes part in one task for each chunk of its component.
-    tasks = chunked.select("node", "component", "chunk", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")).select(
-        "node", "component", "m", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
+    squares = buckets.join(tie.withColumnRenamed("node", "least"), "least", "left").groupBy(F.coalesce("component", "least").alias("component")).agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    dense = (F.col("n") <= block) | (F.col("n").cast("double") * F.col("n") <= F.col("squares"))
+    kinds = stored(sizes.join(squares, "component").select("component", "n", dense.alias("dense")), "component-sizes")
+    parts_of = join_hot(parts, kinds.withColumn("times", F.col("n")), ["component"], "times", nodes.count())
+    parts_of = stored(parts_of, "part-sizes")
+    # A group is a component as a whole (band -1) or a bucket.
+    whole = parts_of.where("dense").select("node", F.lit(-1).alias("band"), F.col("component").alias("key"), "n")
+    split = members.select("node", "band", "key", "n").join(parts_of.where("not dense").select("node"), "node", "left_semi")
+    groups = whole.unionByName(split).select("node", "band", "key", F.ceil(F.col("n") / block).cast("int").alias("m"))
+    groups = groups.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
+    # A task for each pair of chunks (low <= high); a chunk takes part in one task for each chunk of its group.
+    tasks = groups.select("node", "band", "key", "chunk", "m", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("other")).select(
+        "node", "band", "key", "m", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
     )
-    wanted = stored(nodes.join(tasks, "node").select("digest", "first_id", "copies", "node", "component", "m", "chunk", "low", "high"), "tasks")
+    by_band = F.when(F.col("band") >= 0, F.col("bands")).alias("bands")
+    wanted = stored(tasks.join(nodes, "node").select("digest", "first_id", "copies", "node", "band", "key", "m", "chunk", "low", "high", by_band), "tasks")
     # One text per digest: of its rows, one with the least doc_id. Texts are shuffled at every size, as the list grows with them.
     texts = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "doc_id", "text")
     needed = wanted.select("digest", "first_id").distinct()
     picked = texts.join(needed.hint("merge"), (texts["digest"] == needed["digest"]) & texts["doc_id"].eqNullSafe(needed["first_id"]), "left_semi").dropDuplicates(["digest"]).select("digest", "text")
-    inputs = wanted.join(picked, "digest").select("component", "low", "high", "chunk", "m", "node", "copies", "text")
-    task_key = ["component", "low", "high"]
+    task_key = ["band", "key", "low", "high"]
+    inputs = wanted.join(picked, "digest").select(*task_key, "chunk", "m", "node", "copies", "bands", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def done(held: list[pd.DataFrame]) -> pd.DataFrame:
             task = pd.concat(held) if len(held) > 1 else held[0]
-            low, high = int(task["low"].iloc[0]), int(task["high"].iloc[0])
+            band, low, high = (int(task[c].iloc[0]) for c in ("band", "low", "high"))
             side = (task["chunk"].to_numpy() == high).astype(np.int8) if low != high else np.zeros(len(task), np.int8)
-            out = _verify(task["node"].to_numpy(), task["copies"].to_numpy(), side, task["text"].tolist(), threshold)
-            return out.assign(whole=bool(task["m"].iloc[0] == 1))
+            own = np.stack(task["bands"].tolist()) if band >= 0 else None
+            out = _verify(task["node"].to_numpy(), task["copies"].to_numpy(), side, task["text"].tolist(), threshold, own, band)
+            return out.assign(whole=bool(band < 0 and task["m"].iloc[0] == 1))
 
         held: list[pd.DataFrame] = []
         last = None
@@ -196,7 +219,7 @@ def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         (F.col("node") == F.col("lead.node")).alias("keeps"),
     )
     named = stored(named, "classes")
-    for used in (wanted, found):
+    for used in (buckets, members, tied, parts, kinds, parts_of, tie, wanted, found, nodes):
         discard(used)
     return marks.select("doc_id", "digest"), named
 
@@ -205,7 +228,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """A row per row of docs (doc_id, text): doc_id, class_id, n_links (documents it is similar to, copies included) and
     n_text_links (other texts it is similar to)."""
     marks, named = text_classes(docs, threshold, recall, block)
-    return marks.join(named, "digest").select(
+    facts = named.drop("first_id", "keeps").withColumn("times", F.col("copies"))
+    return join_hot(marks, facts, ["digest"], "times", marks.count()).select(
         "doc_id",
         F.when(F.col("has_grams"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.when(F.col("has_grams"), F.col("links") + F.col("copies") - 1).otherwise(0).cast("long").alias("n_links"),
@@ -215,13 +239,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """docs with one row of each class, that of the least doc_id; texts without n-grams all stay."""
-    _, named = text_classes(docs.select("doc_id", "text"), threshold, recall, block)
-    kept = named.where(F.col("keeps") | ~F.col("has_grams")).select(F.col("digest").alias("_digest"), F.col("first_id").alias("_first_id"), F.col("has_grams").alias("_has_grams"))
-    rows = docs.withColumn("_digest", F.md5(F.coalesce("text", F.lit("")))).join(kept, "_digest")
-    # Copies with the same doc_id are one row; rows without n-grams are told apart by a number. The join has them side by side.
-    rows = rows.where(~F.col("_has_grams") | F.col("doc_id").eqNullSafe(F.col("_first_id")))
-    rows = rows.withColumn("_each", F.when(F.col("_has_grams"), F.lit(-1).cast("long")).otherwise(F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["_digest", "_each"]).select(docs.columns)
+    marks, named = text_classes(docs.select("doc_id", "text"), threshold, recall, block)
+    discard(marks)
+    digest, first_id = fresh(docs.columns, "digest", "first_id")
+    kept = named.where(F.col("keeps") & F.col("has_grams")).select(F.col("digest").alias(digest), F.col("first_id").alias(first_id))
+    has_words = F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False))
+    rows = docs.where(has_words).withColumn(digest, F.md5("text"))
+    # By text and doc_id, so that the copies of a text don't meet; rows equal in both are one row.
+    picked = rows.join(kept.hint("merge"), (rows[digest] == kept[digest]) & F.col("doc_id").eqNullSafe(F.col(first_id)), "left_semi").dropDuplicates([digest])
+    return docs.where(~has_words).unionByName(picked.select(docs.columns))
 
 
 #: The same over a view documents: every pair that shares an n-gram, and classes by reachability.
