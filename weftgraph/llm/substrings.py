@@ -25,12 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, ship, stored
+from .common import discard, join_hot, ship, stored
 from .wordhash import U, batched, gram_hashes, mix64, sliding_min
 
 WINDOW, KMER = 35, 16
-#: Pointer jumps double, so this many rounds follow any path that memory could hold; what is left then runs in circles.
-MAX_JUMPS = 40
 
 
 class Runs:
@@ -109,11 +107,12 @@ def key_runs(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFr
 
 
 def compacted(runs: DataFrame) -> DataFrame:
-    """kind, path (the kind of its first run) and offset in edges from there, for the kinds of runs (node, start, n, kind).
+    """kind, path (the kind of its first run), offset in edges from there and times, for the kinds of runs (node, start, n, kind).
 
     A kind follows another if it begins where that one ends in some text. Links that neither fork nor join are followed
-    back along every text first, then from text to text by pointer jumping, one join a round. A circle's offsets don't
-    add up, so its runs later stand for themselves.
+    back along every text first, then from text to text by pointer jumping, one join a round over what still moves. Jumps
+    double, so after as many rounds as the number of kinds has binary digits only circles still move, and nothing else
+    leads into or out of those. A circle has no first run, so each of its kinds stands for itself.
     """
     by = Window.partitionBy("node").orderBy("start")
     near = runs.select("kind", "node", "start", F.lag("kind").over(by).alias("above"), F.lag(F.col("start") + F.col("n")).over(by).alias("above_end"))
@@ -121,24 +120,34 @@ def compacted(runs: DataFrame) -> DataFrame:
     links = near.where("follows").select("above", "kind").distinct()
     forks = links.groupBy("above").agg(F.count(F.lit(1)).alias("out"), F.first("kind").alias("kind")).where("out = 1")
     joins = links.groupBy("kind").agg(F.count(F.lit(1)).alias("in")).where("in = 1")
-    single = forks.join(joins, "kind").select("kind", F.lit(True).alias("single"))
+    times = stored(runs.groupBy("kind").agg(F.count(F.lit(1)).alias("times")), "kinds")
+    single = forks.join(joins, "kind").join(times, "kind").select("kind", F.lit(True).alias("single"), "times")
     # Along each text, a stretch of such links begins at its first run; of all texts, the one that reaches back farthest counts.
-    marked = near.join(single, "kind", "left").withColumn("stretch", F.sum(F.when(F.col("follows") & F.col("single"), 0).otherwise(1)).over(by))
+    total = times.agg(F.coalesce(F.sum("times"), F.lit(0)), F.count(F.lit(1))).first()
+    marked = join_hot(near, stored(single, "kinds-single"), ["kind"], "times", total[0], "left").withColumn("stretch", F.sum(F.when(F.col("follows") & F.col("single"), 0).otherwise(1)).over(by))
     within = Window.partitionBy("node", "stretch").orderBy("start")
     reach = marked.select("kind", F.first("kind").over(within).alias("above"), (F.col("start") - F.first("start").over(within)).cast("long").alias("offset"))
     reach = reach.groupBy("kind").agg(F.max(F.struct("offset", "above")).alias("r")).select("kind", "r.above", F.when(F.col("r.above") == F.col("kind"), F.lit(0).cast("long")).otherwise(F.col("r.offset")).alias("offset"))
-    now = stored(reach, "paths")
-    for _ in range(MAX_JUMPS):
-        up = now.select(F.col("kind").alias("above"), F.col("above").alias("higher"), F.col("offset").alias("more"))
-        then = stored(now.join(up, "above").select("kind", F.col("higher").alias("above"), (F.col("offset") + F.col("more")).alias("offset"), (F.col("higher") != F.col("above")).alias("moved")), "paths")
-        discard(now)
-        now = then.drop("moved")
-        now._stored_at = then._stored_at
-        if not then.where("moved").limit(1).count():
+    moving = stored(reach, "paths")
+    written, settled = [moving], []
+    for _ in range(total[1].bit_length() + 1):
+        every = moving
+        for done in settled:
+            every = every.unionByName(done)
+        up = every.select(F.col("kind").alias("above"), F.col("above").alias("higher"), F.col("offset").alias("more"))
+        then = stored(moving.join(up, "above").select("kind", F.col("higher").alias("above"), (F.col("offset") + F.col("more")).alias("offset"), (F.col("higher") != F.col("above")).alias("moved")), "paths")
+        written.append(then)
+        settled.append(then.where("not moved").drop("moved"))
+        moving = then.where("moved").drop("moved")
+        if not moving.limit(1).count():
             break
-    else:
-        now = now.withColumn("offset", F.lit(0).cast("long")).withColumn("above", F.col("kind"))
-    return now.select("kind", F.col("above").alias("path"), "offset")
+    found = moving.select("kind", F.col("kind").alias("above"), F.lit(0).cast("long").alias("offset"))
+    for done in settled:
+        found = found.unionByName(done)
+    out = stored(found.select("kind", F.col("above").alias("path"), "offset").join(times, "kind"), "paths")
+    for used in (*written, times):
+        discard(used)
+    return out
 
 
 def repeated_spans(runs: DataFrame) -> DataFrame:
@@ -146,22 +155,24 @@ def repeated_spans(runs: DataFrame) -> DataFrame:
     light = runs.select("key", "content", "node", "start", "n", "inner")
     same = stored(light.groupBy("key", "content").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("node", "start")).alias("first"), F.max("inner").alias("inner")), "runs-same")
     # Whole runs that recur: compacted to paths, then to spans.
-    whole = light.join(same.where("times > 1").select("key", "content"), ["key", "content"]).select(F.xxhash64("key", "content").alias("kind"), "node", "start", "n")
+    again = same.where("times > 1").select("key", "content", "times")
+    whole = join_hot(light.drop("inner"), again, ["key", "content"], "times", runs.count()).select(F.xxhash64("key", "content").alias("kind"), "node", "start", "n")
     whole = stored(whole, "runs-whole")
     paths = compacted(whole)
-    placed = whole.join(paths, "kind").withColumn("begin", F.col("start") - F.col("offset"))
+    placed = join_hot(whole, paths, ["kind"], "times", whole.count()).withColumn("begin", F.col("start") - F.col("offset"))
     spans = placed.groupBy("node", "path", "begin").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"), F.sum("n").alias("n"), F.collect_list(F.struct("start", "n")).alias("parts"))
     # In source coordinates a path's runs must lie end to end; those that don't stand for themselves.
     gapless = F.col("end") - F.col("start") == F.col("n")
     spans = spans.select("node", F.explode(F.when(gapless, F.array(F.struct("start", F.col("n").cast("int").alias("n")))).otherwise(F.col("parts"))).alias("s")).select("node", "s.start", "s.n")
     # Runs that occur once may share edges with other runs of their key, or hold one twice.
-    mixed = same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least"), F.max("inner").alias("inner")).where("(kinds > 1 and least = 1) or inner").select("key")
-    parts = same.join(mixed, "key").select("key", "first.node", "first.start", "times")
+    mixed = same.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least"), F.max("inner").alias("inner")).where("(kinds > 1 and least = 1) or inner").select("key", "kinds")
+    parts = join_hot(same, stored(mixed, "runs-mixed-keys"), ["key"], "kinds", same.count()).select("key", "first.node", "first.start", "times")
     edges = stored(runs.select("key", "node", "start", "edges").join(parts, ["key", "node", "start"]).select("key", "node", "start", "times", "edges"), "runs-mixed")
     single = edges.select("key", "times", F.explode("edges").alias("edge"))
-    again = stored(single.groupBy("key", "edge").agg(F.sum("times").alias("times")).where("times > 1").select("key", "edge"), "edges-again")
+    again = stored(single.groupBy("key", "edge").agg(F.sum("times").alias("times")).where("times > 1"), "edges-again")
     alone = edges.where("times = 1").select("key", "node", "start", F.posexplode("edges").alias("place", "edge"))
-    found = alone.join(again, ["key", "edge"]).select("node", (F.col("start") + F.col("place")).alias("start"), F.lit(1).alias("n"))
+    total = again.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    found = join_hot(alone, again, ["key", "edge"], "times", total).select("node", (F.col("start") + F.col("place")).alias("start"), F.lit(1).alias("n"))
     return spans.unionByName(found)
 
 
@@ -187,22 +198,26 @@ def _without(texts: DataFrame, window: int) -> DataFrame:
 def substring_dedup(docs: DataFrame, window: int = WINDOW, kmer: int = KMER) -> DataFrame:
     """A row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256."""
     marks = stored(text_keys(docs, window, kmer), "substrings")
-    texts = marks.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("twice").alias("twice"))
+    texts = marks.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"), F.first("keys").alias("keys"), F.first("twice").alias("twice"))
     texts = stored(texts.withColumn("node", F.monotonically_increasing_id()), "substring-texts")
     keys = texts.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = keys.join(stored(shared, "substring-keys"), "key").unionByName(texts.select("node", F.explode("twice").alias("key")))
-    wanted = texts.select("node", "digest", "copies").join(wanted.groupBy("node").agg(F.collect_set("key").alias("wanted")), "node")
-    # One text per digest, with the keys that it shares.
-    some = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("digest"), "text")
-    held = stored(some.join(wanted, "digest").dropDuplicates(["digest"]).select("digest", "node", "copies", "text", "wanted"), "substring-held")
+    shared = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "substring-keys")
+    wanted = join_hot(keys, shared, ["key"], "n", keys.count()).unionByName(texts.select("node", F.explode("twice").alias("key")))
+    wanted = texts.select("node", "digest", "first_id", "copies").join(wanted.groupBy("node").agg(F.collect_set("key").alias("wanted")), "node")
+    # One text per digest, with the keys that it shares: of its rows, one with the least doc_id, so that copies don't meet.
+    some = docs.select(F.md5(F.coalesce("text", F.lit(""))).alias("d"), "doc_id", "text")
+    picked = some.join(wanted.hint("merge"), (F.col("d") == F.col("digest")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).dropDuplicates(["digest"])
+    held = stored(picked.select("digest", "node", "copies", "text", "wanted"), "substring-held")
     runs = stored(key_runs(held, window, kmer), "substring-runs")
     spans = repeated_spans(runs).groupBy("node").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     changed = stored(_without(held.where("copies = 1").select("node", "digest", "text").join(spans, "node"), window), "substring-kept")
-    for used in (runs, held):
+    for used in (runs, held, shared):
         discard(used)
-    copies = texts.where("copies > 1").select("digest", F.lit(True).alias("copied"))
-    out = marks.select("doc_id", "digest", "n_words", "full_sha256").join(changed, "digest", "left").join(copies, "digest", "left")
+    none = F.lit(None)
+    facts = changed.select("digest", "n_removed", "kept_sha256", F.lit(False).alias("copied"), F.lit(1).cast("long").alias("times")).unionByName(
+        texts.where("copies > 1").select("digest", none.cast("long").alias("n_removed"), none.cast("string").alias("kept_sha256"), F.lit(True).alias("copied"), F.col("copies").alias("times"))
+    )
+    out = join_hot(marks.select("doc_id", "digest", "n_words", "full_sha256"), stored(facts, "substring-facts"), ["digest"], "times", marks.count(), "left")
     all_gone = F.coalesce("copied", F.lit(False)) & (F.col("n_words") >= window)
     return out.select(
         "doc_id",
