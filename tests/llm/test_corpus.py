@@ -64,6 +64,25 @@ def test_near_duplicates(docs_of, block):
     assert got == near_by_force(texts, range(100, 100 + len(texts)))
 
 
+def test_near_duplicates_in_a_chain(docs_of, monkeypatch):
+    """Windows over one long text: neighbours share bands though they aren't similar, so they chain; near copies lie among them."""
+    rng = random.Random(4)
+    words = [f"c{rng.randint(0, 10**6)}" for _ in range(1200)]
+    texts = [" ".join(words[i : i + 80]) for i in range(0, 1100, 20)]
+    for k in (3, 3, 9, 20):
+        w = texts[k].split()
+        w[rng.randrange(80)] = f"edit{rng.randint(0, 99)}"
+        texts.append(" ".join(w))
+    want = near_by_force(texts, range(len(texts)))
+    assert sum(r[2] for r in want) == 8  # four pairs, among windows of which neighbours only share 0.58
+    whole = []
+    plain = neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges: whole.append(1) or plain(edges))
+    for block in (400, 8):
+        assert Counter(tuple(r) for r in neardup.near_duplicates(docs_of(texts), block=block).collect()) == want
+    assert len(whole) == 3  # with blocks of 8 the chain is verified by buckets, whose forests are tied together
+
+
 def test_near_duplicates_kept(docs_of):
     docs = docs_of(corpus(1), 100)
     kept = neardup.without_near_duplicates(docs)
@@ -110,6 +129,23 @@ def periodic(seed):
         yield " ".join(w for i in range(4 * cycle + 3) for w in [*row, field[i % cycle]])
 
 
+def test_substrings_in_circles(docs_of, monkeypatch):
+    """Passages that follow each other in a circle, A B, B C and C A, besides long ones that don't."""
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"p{rng.randint(0, 10**9)}" for _ in range(60)) for _ in range(4))
+    long = " ".join(f"q{rng.randint(0, 10**9)}" for _ in range(2000))
+    texts = [f"{a} {b}", f"{b} {c}", f"{c} {a}", f"x {d} y", f"u {d} v {d}", long + " one", "two " + long]
+    written, seen = [], []
+    plain, jumps = substrings.stored, substrings.compacted
+    monkeypatch.setattr(substrings, "stored", lambda df, name: written.append(name) or plain(df, name))
+    monkeypatch.setattr(substrings, "compacted", lambda runs: seen.append(jumps(runs)) or seen[-1])
+    got = Counter(tuple(r) for r in substrings.substring_dedup(docs_of(texts)).collect())
+    assert got == substrings_by_force(texts, range(len(texts)))
+    assert written.count("paths") <= 12
+    longest = seen[0].groupBy("path").count().agg({"count": "max"}).first()[0]
+    assert longest > 50  # the long text's path is whole though there are circles
+
+
 def test_substrings_within_a_run(docs_of):
     texts = list(periodic(3))
     got = Counter(tuple(r) for r in substrings.substring_dedup(docs_of(texts)).collect())

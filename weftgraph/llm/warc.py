@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship
+from .common import join_hot, shared_dir, ship, stored
 
 MIN_REVISIT = 1000
 RECORDS_PER_FILE = 3000
@@ -38,15 +38,24 @@ def _record(kind: Column, headers: list[tuple[str, Column]], block: Column) -> C
 
 
 def with_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, payload, payload_bytes, payload_digest, keeper (page_id, url) of each page's payload, null for responses."""
+    """page_id, url, payload, payload_bytes, payload_digest, keeper (page_id, url) of each page's payload, null for responses.
+
+    Short payloads aren't shuffled. Of the long ones, rows without payloads find what they revisit, and only responses'
+    payloads are needed, which are told from revisits by page_id and digest together, so equal payloads never meet.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("payload_digest"))
-    long_ones = base.where(F.col("payload_bytes") >= min_revisit)
-    keepers = long_ones.groupBy("payload_digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("keeper"), F.count(F.lit(1)).alias("n"))
-    keepers = keepers.where((F.col("n") > 1) & F.col("keeper").isNotNull()).drop("n")
-    joined = base.join(keepers, "payload_digest", "left")
-    revisits = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper.page_id"))
-    return joined.withColumn("keeper", F.when(revisits, F.col("keeper")))
+    none = F.lit(None).cast("struct<page_id:bigint,url:string>").alias("keeper")
+    short, long_ones = base.where(F.col("payload_bytes") < min_revisit), base.where(F.col("payload_bytes") >= min_revisit)
+    light = long_ones.drop("payload")
+    keepers = light.groupBy("payload_digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct(F.col("page_id").cast("long").alias("page_id"), "url"))).alias("keeper"), F.count(F.lit(1)).alias("n"))
+    keepers = stored(keepers.where((F.col("n") > 1) & F.col("keeper").isNotNull()), "keepers")
+    revisits = join_hot(light, keepers, ["payload_digest"], "n", keepers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    revisits = revisits.where(~F.col("page_id").eqNullSafe(F.col("keeper.page_id")))
+    gone = revisits.select(F.col("payload_digest").alias("d"), F.col("page_id").alias("p")).distinct()
+    responses = long_ones.join(gone, (F.col("payload_digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left_anti")
+    columns = [*base.columns, "keeper"]
+    return short.withColumn("keeper", none).unionByName(responses.withColumn("keeper", none)).unionByName(revisits.withColumn("payload", F.lit(None).cast("string")).select(columns))
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z", records_per_file: int = RECORDS_PER_FILE) -> None:
