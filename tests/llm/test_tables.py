@@ -4,14 +4,13 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import mixing, neighbours, warc
 
 
 def test_budgets_fill_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame([("web", "en", "a", 100, 100), ("web", "en", "b", 900, 900), ("web", "de", "c", 50, 50), ("books", "en", "d", 1000, 1000)], "domain string, lang string, source string, tokens long, supply long")
-    from pyspark.sql import functions as F
-
     rows = {r["source"]: r["budget"] for r in mixing.budgets(leaves, F.lit(1000), top_weights={"web": 1.0, "books": 1.0}, damp=0.0).collect()}
     # web gets 500: de can only use 50, so en gets 450, of which a takes all its 100 and b the other 350.
     assert rows == {"a": 100, "b": 350, "c": 50, "d": 500}
@@ -81,7 +80,12 @@ def test_pipeline(spark, tmp_path):
 
     texts = ["calm words about rivers and stones number %d %d %d %d" % (i, i * 7, i * 13, i * 31) for i in range(40)]
     texts += [texts[0], "you idiot moron", None, "", "mail a@b.co " + texts[3] + " unlike"]
+    texts += ["river " * 30_000 + str(i) for i in range(2)]
     docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(docs.where("doc_id in (0, 42)"))  # repeated rows
+    # Names that the operators use themselves come through.
+    for c in ("score", "predicted", "_toxic", "toxic", "epoch", "_rest", "rest", "_domain", "domain", "_tokens", "_order", "_spans", "spans", "_digest", "digest", "_each", "_first_id", "_has_grams", "row", "n"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     now = docs
@@ -89,8 +93,21 @@ def test_pipeline(spark, tmp_path):
         out = stage(spark, now, str(tmp_path))
         assert out.columns == docs.columns, name
         now = spark.createDataFrame(out.collect(), docs.schema)
+        for c in docs.columns[5:]:
+            assert out.where(F.col(c) != F.concat(F.lit(c), F.col("doc_id").cast("string"))).count() == 0, (name, c)
     kept = {r["doc_id"]: r["text"] for r in now.collect()}
     assert 40 not in kept  # an exact copy
     assert all("a@b.co" not in (t or "") for t in kept.values())
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 1024
+    docs.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mixing_by_weights_of_any_node(spark):
+    leaves = spark.createDataFrame([("web", "en", "a", 1000, 1000), ("web", "de", "b", 1000, 1000), ("web", "de", None, 1000, 1000), ("books", "en", "d", 1000, 1000)], "domain string, lang string, source string, tokens long, supply long")
+    weights = {("web", "en"): 3.0, ("web", "de"): 1.0, ("web", "de", None): 4.0, ("web", "de", "b"): 1.0}
+    rows = {(r["domain"], r["source"]): r["budget"] for r in mixing.budgets(leaves, F.lit(1000), top_weights={"web": 4.0, "books": 1.0}, weights=weights).collect()}
+    assert rows == {("web", "a"): 600, ("web", "b"): 40, ("web", None): 160, ("books", "d"): 200}
+    with pytest.raises(ValueError):
+        mixing.budgets(leaves, F.lit(1), weights={("web",): 0.0})

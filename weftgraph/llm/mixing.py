@@ -10,8 +10,9 @@ row are less than its budget: a prefix that overshoots by less than one row. Row
 token sums are added up first, so no leaf is sorted by one task, however large; a bucket's rows are ordered within it.
 
 Tokens are words `[^\x20\x09-\x0D]+`. Null texts and texts without words supply nothing and are never taken; null
-levels form a leaf of their own. Repeated rows share a hash and follow each other in an order fixed by their values;
-columns other than those named here are carried along where the caller's frame has them.
+levels form a leaf of their own. Rows of one key share a hash and follow each other by tokens, then by a hash of all their
+values, so only rows that are equal altogether are interchangeable. All columns of the caller's frame are carried along,
+whatever their names. Weights of any node of the tree, by its path of names, take the place of the rules above.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, words
+from .common import discard, fresh, stored, words
 
 LEVELS = ("domain", "lang", "source")
 #: Share of all available tokens that the mix asks for, and how often a row may be used.
@@ -67,17 +68,30 @@ def _dealt(children: DataFrame, parent: tuple[str, ...], order: tuple[str, ...])
     return df.withColumn("budget", F.when(F.col("_full"), F.col("supply")).otherwise(F.least(F.col("supply"), share))).drop("_full_before", "_weight_from", "_full", "_taken", "_open")
 
 
-def budgets(leaves: DataFrame, budget: Column, levels: tuple[str, ...] = LEVELS, top_weights: dict[str, float] = DOMAIN_WEIGHTS, damp: float = DAMP) -> DataFrame:
-    """leaves (levels, tokens, supply) with each leaf's budget. The first level weighs by top_weights, the others damped."""
-    known = F.lit(1.0)
-    for name, w in top_weights.items():
-        known = F.when(F.col(levels[0]) == name, w).otherwise(known)
+def _weight(own: tuple[str, ...], top_weights: dict[str, float], damp: float, weights: dict[tuple[str | None, ...], float]) -> Column:
+    """A node's weight: its own in weights, by the path of its names, else for the first level top_weights (or 1), for others damped."""
+    out = F.lit(1.0) if len(own) == 1 else F.pow(F.col("tokens").cast("double"), F.lit(damp))
+    given = dict({(name,): w for name, w in top_weights.items()} if len(own) == 1 else {}) | {p: w for p, w in weights.items() if len(p) == len(own)}
+    for path, w in given.items():
+        same = F.lit(True)
+        for c, name in zip(own, path, strict=True):
+            same = same & F.col(c).eqNullSafe(F.lit(name))
+        out = F.when(same, float(w)).otherwise(out)
+    return out
+
+
+def budgets(
+    leaves: DataFrame, budget: Column, levels: tuple[str, ...] = LEVELS, top_weights: dict[str, float] = DOMAIN_WEIGHTS, damp: float = DAMP, weights: dict[tuple[str | None, ...], float] | None = None
+) -> DataFrame:
+    """leaves (levels, tokens, supply) with each leaf's budget. weights: of nodes at any level, by path, as ("web", "en")."""
+    if any(w <= 0 for w in [*top_weights.values(), *(weights or {}).values()]):
+        raise ValueError("weights are positive")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0).cast("long")).alias("tokens")).select(budget.alias("parent_budget"))
     parents, above = total, ()
     for depth in range(len(levels)):
         own = levels[: depth + 1]
         nodes = leaves.groupBy(*own).agg(F.sum("tokens").alias("tokens"), F.sum("supply").alias("supply"))
-        nodes = nodes.withColumn("weight", known if depth == 0 else F.pow(F.col("tokens").cast("double"), F.lit(damp)))
+        nodes = nodes.withColumn("weight", _weight(own, top_weights, damp, weights or {}))
         same = [F.col(f"n.{c}").eqNullSafe(F.col(f"p.{c}")) for c in above]
         joined = nodes.alias("n").join(parents.alias("p"), on=same) if above else nodes.alias("n").join(F.broadcast(parents.alias("p")))  # one row
         dealt = _dealt(joined.select("n.*", "p.parent_budget"), above, own)
@@ -99,42 +113,49 @@ def mix(
     seed: int = SEED,
     top_weights: dict[str, float] = DOMAIN_WEIGHTS,
     damp: float = DAMP,
+    weights: dict[tuple[str | None, ...], float] | None = None,
 ) -> DataFrame:
     """The rows of docs that the mix takes, with the epoch (from 1) that takes them: a row taken twice comes twice.
 
-    budget: a column over `tokens`, the sum of all tokens; by default BUDGET_SHARE of it.
+    budget: a column over `tokens`, the sum of all tokens; by default BUDGET_SHARE of it. The epoch is the last column,
+    called epoch, with underscores before it if docs have a column of that name.
     """
     budget = F.floor(F.col("tokens") * BUDGET_SHARE).cast("long") if budget is None else budget
-    facts = stored(docs, "mix")
-    some = facts.where(F.col(tokens) > 0)
-    leaves = some.groupBy(*levels).agg(F.sum(tokens).alias("tokens")).withColumn("supply", F.col("tokens") * max_epochs)
-    plan = budgets(leaves, budget, levels, top_weights, damp).where(F.col("budget") > 0)
-    plan = plan.withColumns({"_whole": F.floor(F.col("budget") / F.col("tokens")).cast("long")}).withColumn("_rest", F.col("budget") - F.col("_whole") * F.col("tokens"))
-    plan = stored(plan.select(*[F.col(c).alias(f"_{c}") for c in levels], "_whole", "_rest"), "mix-plan")
+    named = {f"level_{i}": F.col(c) for i, c in enumerate(levels)}
+    # The caller's row is one column, so that its names can't meet those used here.
+    facts = stored(docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in named.items()], F.col(tokens).cast("long").alias("n"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")), "mix")
+    some = facts.where(F.col("n") > 0)
+    names = tuple(named)
+    leaves = some.groupBy(*names).agg(F.sum("n").alias("tokens")).withColumn("supply", F.col("tokens") * max_epochs)
+    plan = budgets(leaves, budget, names, top_weights, damp, weights).where(F.col("budget") > 0)
+    plan = plan.withColumn("whole", F.floor(F.col("budget") / F.col("tokens")).cast("long")).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens"))
+    plan = stored(plan.select(*[F.col(c).alias(f"p_{c}") for c in names], "whole", "rest"), "mix-plan")
     small = plan.count() <= MAX_BROADCAST_LEAVES
+    leaf = [f"p_{c}" for c in names]
 
     def planned(rows: DataFrame, more: DataFrame) -> DataFrame:
-        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in levels]
+        same = [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in names]
         return rows.join(F.broadcast(more) if small else more, on=same)
 
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("_whole") + 1, F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    bucket = F.substring("_order", 1, BUCKET_DIGITS)
-    ordered = planned(some, plan).withColumn("_order", order).withColumn("_bucket", bucket)
-    sums = ordered.where(F.col("_rest") > 0).groupBy(*[f"_{c}" for c in levels], "_rest", "_bucket").agg(F.sum(tokens).alias("_sum"))
-    before = F.sum("_sum").over(Window.partitionBy(*[f"_{c}" for c in levels]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.withColumn("_before", F.coalesce(before, F.lit(0).cast("long")))
+    order = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole") + 1, "key"))
+    bucket = F.substring("order", 1, BUCKET_DIGITS)
+    ordered = planned(some.drop("row"), plan).withColumn("order", order).withColumn("bucket", bucket)
+    sums = ordered.where(F.col("rest") > 0).groupBy(*leaf, "rest", "bucket").agg(F.sum("n").alias("sum"))
+    before = F.sum("sum").over(Window.partitionBy(*leaf).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.withColumn("before", F.coalesce(before, F.lit(0).cast("long")))
     # The bucket in which the rest runs out: those before it are taken whole.
-    edge = sums.where(F.col("_before") < F.col("_rest")).groupBy(*[f"_{c}" for c in levels]).agg(F.max(F.struct("_bucket", "_before")).alias("_edge"))
-    edge = edge.select(*[F.col(f"_{c}").alias(f"__{c}") for c in levels], F.col("_edge._bucket").alias("_last"), F.col("_edge._before").alias("_before"))
-    full_plan = stored(plan.join(edge, [F.col(f"_{c}").eqNullSafe(F.col(f"__{c}")) for c in levels], "left").drop(*[f"__{c}" for c in levels]), "mix-plan")
-    rows = planned(some, full_plan).withColumn("_order", order).withColumn("_bucket", bucket)
-    last = rows.where((F.col("_rest") > 0) & (F.col("_bucket") == F.col("_last")))
-    inside = F.sum(tokens).over(Window.partitionBy(*[f"_{c}" for c in levels]).orderBy("_order", tokens).rowsBetween(Window.unboundedPreceding, -1))
-    last = last.withColumn("_in", F.coalesce(inside, F.lit(0).cast("long"))).where(F.col("_before") + F.col("_in") < F.col("_rest"))
-    whole = rows.where(F.col("_whole") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_whole"))))
-    first = rows.where((F.col("_rest") > 0) & (F.col("_bucket") < F.col("_last"))).withColumn("epoch", F.col("_whole") + 1)
-    names = [*docs.columns, "epoch"]
-    return whole.select(names).unionByName(first.select(names)).unionByName(last.withColumn("epoch", F.col("_whole") + 1).select(names))
+    edge = sums.where(F.col("before") < F.col("rest")).groupBy(*leaf).agg(F.max(F.struct("bucket", "before")).alias("edge"))
+    edge = edge.select(*[F.col(c).alias(f"e_{c}") for c in leaf], F.col("edge.bucket").alias("last"), F.col("edge.before").alias("before"))
+    full_plan = stored(plan.join(edge, [F.col(c).eqNullSafe(F.col(f"e_{c}")) for c in leaf], "left").drop(*[f"e_{c}" for c in leaf]), "mix-plan")
+    discard(plan)
+    rows = planned(some, full_plan).withColumn("order", order).withColumn("bucket", bucket)
+    last = rows.where((F.col("rest") > 0) & (F.col("bucket") == F.col("last")))
+    inside = F.sum("n").over(Window.partitionBy(*leaf).orderBy("order", "n", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1))
+    last = last.withColumn("in", F.coalesce(inside, F.lit(0).cast("long"))).where(F.col("before") + F.col("in") < F.col("rest"))
+    whole = rows.where(F.col("whole") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole"))))
+    first = rows.where((F.col("rest") > 0) & (F.col("bucket") < F.col("last"))).withColumn("epoch", F.col("whole") + 1)
+    taken = whole.select("row", "epoch").unionByName(first.select("row", "epoch")).unionByName(last.withColumn("epoch", F.col("whole") + 1).select("row", "epoch"))
+    return taken.select("row.*", F.col("epoch").alias(fresh(docs.columns, "epoch")[0]))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:

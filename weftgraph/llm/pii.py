@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import fresh, let
 
 MARK, STAND_IN = "﷐", "﷑"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -141,15 +141,17 @@ def find_pii(docs: DataFrame, text: str = "text", into: str = "pii_spans", kinds
 def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """docs with every span of text replaced by its kind's tag; of overlapping spans the first is named and all are covered.
 
-    The text is cut at span ends once, so the time is linear in text and spans. A null text stays null.
+    Each span is cut out by its place, so the time grows with the text's length times its spans. A null text stays null, and
+    other columns are carried along, whatever their names.
     """
-    df = find_pii(docs, text, "_spans", kinds)
+    spans = fresh(docs.columns, "spans")[0]
+    df = find_pii(docs, text, spans, kinds)
     tags = F.array(*[F.lit(k.tag) for k in kinds])
     state = "struct<at:int,out:array<string>>"
     t = F.col(text)
     # at: end of what is covered so far (code points); out: untouched pieces and tags by turns.
     cut = F.aggregate(
-        F.col("_spans"),
+        F.col(spans),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state),
         lambda a, s: F.when(s["start"] < a["at"], F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")).cast(state)).otherwise(
             F.struct(
@@ -159,7 +161,7 @@ def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
         ),
         lambda a: F.concat(F.array_join(a["out"], ""), F.substring(t, a["at"] + 1, F.char_length(t))),
     )
-    return df.withColumn(text, F.when(F.size("_spans") > 0, cut).otherwise(t)).drop("_spans")
+    return df.withColumn(text, F.when(F.size(spans) > 0, cut).otherwise(t)).drop(spans)
 
 
 def listed(spans: Column, kinds: tuple[Kind, ...] = KINDS) -> Column:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ship, stored
+from .common import discard, fresh, ship, stored
 from .wordhash import mix64
 
 ORDERS = (4, 5, 6, 7)
@@ -77,7 +77,17 @@ def _chunks(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield flush()
 
 
-def distinct_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def distinct_grams(texts: list[str]) -> Iterator[np.ndarray]:
+    """N-grams of texts, each as often as texts hold it. A text of several chunks is counted by itself, over all of them."""
+    short = [t for t in texts if len(t) <= CHUNK]
+    for _, grams in _pairs(short):
+        yield grams
+    for text in texts:
+        if len(text) > CHUNK:
+            yield np.unique(np.concatenate([np.unique(grams) for _, grams in _pairs([text])]))
+
+
+def _pairs(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(place of the text, n-gram) pairs, each pair once within a chunk."""
     for codes, owner in _chunks(texts):
         for order in ORDERS:
@@ -122,7 +132,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         for batch in batches:
             for label in (0, 1):
                 texts = [normal(t) for t in batch["text"][batch["toxic"] == label]]
-                for _, grams in distinct_grams(texts):
+                for grams in distinct_grams(texts):
                     kinds, n = np.unique(grams, return_counts=True)
                     yield pd.DataFrame({"gram": kinds.view(np.int64), "n0": n * (label == 0), "n1": n * (label == 1)})
 
@@ -166,9 +176,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
     none = np.zeros(0, np.uint64), np.zeros(0)
     order = F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id")))
     picked = [known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(max_train) for label in (0, 1)]
-    # At most 2 * max_train rows: bounded by the parameter. Repeated rows of a document are one text.
+    # At most 2 * max_train rows: bounded by the parameter. Of several texts of a document the least counts.
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    sample = stored(docs.select("doc_id", "text").join(chosen, "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = stored(texts, "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not share or share == 1 or len(sizes) < 2:
         p = min(max(share or 0.0, 1e-6), 1 - 1e-6)
@@ -205,10 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
     return Model(hashes, w * ratios, float(b + shift))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs (with doc_id and text) with score and predicted, row for row; score and predicted of the input are replaced."""
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs (with text) with score and predicted under names, row for row; columns of the input that are called so are replaced."""
     ship(docs.sparkSession)
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
 
     @F.pandas_udf("score double, predicted int")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -223,8 +234,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
             p = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
             yield pd.DataFrame({"score": p, "predicted": (p >= threshold).astype(np.int32)})
 
-    out = docs.withColumn("_toxic", scored(F.col("text")))
-    return out.select(*docs.columns, F.col("_toxic.score").alias("score"), F.col("_toxic.predicted").alias("predicted"))
+    both = fresh(docs.columns, "toxic")[0]
+    out = docs.withColumn(both, scored(F.col("text")))
+    return out.select(*docs.columns, F.col(f"{both}.score").alias(names[0]), F.col(f"{both}.predicted").alias(names[1]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
