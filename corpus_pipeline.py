@@ -1,7 +1,8 @@
 """A training corpus from documents: toxicity, near duplicates, personal data, mixing and packing, one after the other.
 
 Each stage reads what the one before wrote to the shared folder; all but the last return the columns of documents. A
-null, empty or repeated row, an empty table and extra columns are handled as each stage's operator says.
+null, empty or repeated row and an empty table are handled as each stage's operator says. Extra columns are carried along to
+the last stage, whatever their names. What a stage wrote is deleted when the next has written.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import mixing, neardup, packing, pii, toxicity
-from weftgraph.llm.common import stored, table
+from weftgraph.llm.common import discard, fresh, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on labels, doesn't call toxic."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("predicted") == 0).select(docs.columns)
+    names = fresh(docs.columns, "score", "predicted")
+    return toxicity.score(docs, model, names=tuple(names)).where(F.col(names[1]) == 0).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,9 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, once for each epoch that takes them."""
-    facts = docs.withColumns({"_domain": mixing.domain_of(F.col("source")), "_tokens": mixing.n_words(F.col("text"))})
-    return mixing.mix(facts, levels=("_domain", "lang", "source"), tokens="_tokens").select(docs.columns)
+    domain, tokens = fresh(docs.columns, "domain", "tokens")
+    facts = docs.withColumns({domain: mixing.domain_of(F.col("source")), tokens: mixing.n_words(F.col("text"))})
+    return mixing.mix(facts, levels=(domain, "lang", "source"), tokens=tokens).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
