@@ -1,6 +1,7 @@
 """Mixing, neighbours, archives and the pipeline."""
 
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -57,6 +58,42 @@ def test_neighbours_are_found(spark):
     assert neighbours.nearest(df.where("vec_id in (20, 21)")).count() == 1
 
 
+def test_neighbours_of_the_table(spark):
+    """Recall at least 0.9 on the embeddings at hand, by fewer inner products than brute force."""
+    at = "/root/testdata/sf0.1/embeddings.parquet"
+    if not Path(at).exists():
+        pytest.skip("no tables here")
+    table = spark.read.parquet(at)
+    for c in ("rep", "leaves", "seen", "tree", "asked", "digest"):
+        table = table.withColumn(c, F.lit("clash"))
+    got = neighbours.nearest(table).toPandas()
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(at).collect() if r["embedding"]]
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        s = (x * x[q]).sum(axis=1)
+        want = [ids[j] for j in np.lexsort((ids, -s)) if j != q][:20]
+        mine = got[got["query_id"] == ids[q]].sort_values("rank")
+        assert len(mine) == 20 and (mine["score"].diff().dropna() <= 0).all()
+        hits, total = hits + len(set(want) & set(mine["vec_id"])), total + 20
+    assert hits / total >= 0.9
+    sample = x[np.random.default_rng(1).permutation(len(x))]
+    forest = neighbours.grow(sample, float(np.linalg.norm(x, axis=1).max()), 6)
+    leaves = forest.leaves(sample)
+    share, seen = forest.share_needed(sample, 20, neighbours.TARGET, 100), {}
+    for i, t, leaf in forest.visits(sample[:100], forest.counts(leaves), share * len(x)):
+        seen[i] = seen.get(i, np.zeros(len(x), bool)) | (leaves[:, t] == leaf)
+    assert np.mean([v.sum() for v in seen.values()]) < 0.9 * len(x)
+
+
+def test_neighbours_tie_to_smaller_ids(spark):
+    """At the last rank many different vectors tie, in several blocks and trees."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, float(np.cos(i)), float(np.sin(i))]) for i in range(1, 200)] + [(300 + i, [0.9, float(i), 1.0]) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, every=1000, leaf=1000).toPandas().sort_values("rank")
+    assert got["vec_id"].tolist() == [300, 301, 302, 303, 304, *range(1, 16)]
+
+
 def test_archives_round_trip(spark, tmp_path):
     long = "<p>" + "é\r\n\r\nWARC/1.1\r\n" * 200
     rows = [(1, "http://a/", long), (7, "http://b/", long), (5, None, long), (None, "http://c/", long), (2, "http://d/ x", "short"), (3, "u", "short"), (4, "u", None), (4, "u", None), (8, "v\r\nX: y", "")]

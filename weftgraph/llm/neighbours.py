@@ -2,17 +2,21 @@
 
 Vectors get a further component so that all have the largest norm; nearness by inner product then is nearness by angle.
 Trees are grown on a bounded sample (MAX_SAMPLE distinct vectors, in the order of a hash of vec_id): each node splits its
-share of the sample at the median projection on the difference of two of its vectors. Every vector is routed down every
-tree. A query keeps one queue of nodes over all trees, by the sum of the squared margins that it crossed, and visits the
-next leaf until it has looked at its share of the rows. That share is what queries of the sample need for TARGET of their
-true neighbours, so vectors without structure are searched far and clustered ones little; trees are only so deep that a
-query visits about MAX_VISITS leaves. Leaves are joined with their visitors in blocks of bounded size, where exact inner
-products in double precision leave each query's best; the best over all leaves are ranked.
+share of the sample at the median projection on the difference of two of its vectors, of DRAWS such directions the one
+along which the share spreads most. Every vector is routed down every tree. A query keeps one queue of nodes over all
+trees, by the sum of the squared margins that it crossed, and visits the next leaf until it has looked at its share of the
+rows. That share is what queries of the sample need for TARGET of their true neighbours, so vectors without structure are
+searched far and clustered ones little; trees are only so deep that a query visits about MAX_VISITS leaves.
+
+Leaves are joined with their visitors in blocks of bounded size on either side. A candidate that a query meets in several
+trees is looked at in the first of them only, so no inner product is formed twice. The best of a block get their scores
+anew, summed in one order whatever the block, and the best over all blocks are ranked.
 
 Equal vectors are indexed once, with their k + 1 least ids, and equal queries are searched once. Vectors that are null or
-zero, hold null or non-finite components, or have another length than most (of equally frequent lengths the least) take
-no part, neither do null ids. Repeated rows count once. Ties go to the smaller vec_id; with fewer candidates than k all
-are returned; an empty table gives an empty result. Other columns play no part.
+zero, hold null or non-finite components, or have another length than most (of equally frequent lengths the least, as
+vectors of different lengths have no inner product) take no part, neither do null ids. Rows equal in vec_id and vector
+count once; a vec_id with several vectors has a list for each. Ties go to the smaller vec_id; with fewer candidates than
+k all are returned; an empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -27,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, stored
+from .common import discard, ship, stored
 
 K, EVERY = 20, 20
 #: Trees of the forest, least rows aimed at in a leaf, leaves that a query may visit, share of true neighbours aimed at.
-TREES, LEAF, MAX_VISITS, TARGET = 6, 100, 64, 0.95
-#: Vectors that trees are grown on, of them queries that choose the share, rows of a block.
-MAX_SAMPLE, MAX_TRIALS, BLOCK, SEED = 32_768, 200, 4096, 5
+TREES, LEAF, MAX_VISITS, TARGET = 6, 50, 128, 0.94
+#: Vectors that trees are grown on, of them queries that choose the share, candidates and queries of a block, directions drawn.
+MAX_SAMPLE, MAX_TRIALS, BLOCK, QUERIES, DRAWS, SEED = 32_768, 200, 4096, 1024, 4, 5
 
 
 @dataclass(frozen=True)
@@ -113,11 +117,13 @@ def grow(sample: np.ndarray, norm: float, depth: int, trees: int = TREES, seed:
         for node in range(n_nodes):
             mine = shares[node]
             if len(mine) > 1:
-                a, b = rng.choice(mine, 2, replace=False)
-                direction = y[a] - y[b]
+                ends = np.stack([rng.choice(mine, 2, replace=False) for _ in range(DRAWS)])
+                drawn = y[ends[:, 0]] - y[ends[:, 1]]
             else:
-                direction = rng.normal(size=y.shape[1])
-            direction = direction / (np.linalg.norm(direction) or 1.0)
+                drawn = rng.normal(size=(1, y.shape[1]))
+            drawn = drawn / np.maximum(np.linalg.norm(drawn, axis=1, keepdims=True), 1e-12)
+            spread = (y[mine[:1024]] @ drawn.T).std(axis=0) if len(mine) else np.zeros(1)
+            direction = drawn[int(spread.argmax())]
             projected = y[mine] @ direction
             threshold = float(np.median(projected)) if len(mine) else 0.0
             forest.directions[t, node], forest.thresholds[t, node] = direction, threshold
@@ -162,69 +168,75 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
         forest = grow(sample, float(norm), depth, trees)
         share = forest.share_needed(sample, k, target, MAX_TRIALS)
     shared = spark.sparkContext.broadcast(forest)  # as large as the sample allows
+    leaves_n = 2**depth
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 found = shared.value.leaves(np.stack(b["embedding"].tolist()))
-                yield pd.DataFrame({"rep": b["rep"], "leaves": list(found)})
+                yield pd.DataFrame({"rep": b["rep"], "embedding": b["embedding"], "leaves": list(found.astype(np.int32)), "asked": b["asked"]})
 
-    routed = stored(reps.select("rep", "embedding").mapInPandas(route, "rep long, leaves array<long>"), "vector-leaves")
+    routed = stored(reps.mapInPandas(route, "rep long, embedding array<double>, leaves array<int>, asked boolean"), "vector-leaves")
     in_leaf = routed.select("rep", F.posexplode("leaves").alias("tree", "leaf"))
-    filled = in_leaf.groupBy("tree", "leaf").count().collect()  # at most trees times 2 ** depth rows
-    counts = np.zeros((trees, 2**depth), np.int64)
-    for r in filled:
-        counts[r["tree"], r["leaf"]] = r["count"]
-    blocks = np.maximum(1, -(-counts // BLOCK))
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                x = np.stack(b["embedding"].tolist())
-                found = [(i, t, f, block) for i, t, f in shared.value.visits(x, counts, share * n) for block in range(blocks[t, f])]
-                at, tree, leaf_of, block = (np.array(c) for c in zip(*found, strict=True))
-                yield pd.DataFrame({"rep": b["rep"].to_numpy()[at], "embedding": [x[i] for i in at], "tree": tree, "leaf": leaf_of, "block": block, "is_query": True})
+    def by_leaf(rows: DataFrame) -> np.ndarray:
+        out = np.zeros((trees, leaves_n), np.int64)
+        for r in rows.groupBy("tree", "leaf").count().collect():  # at most trees times 2 ** depth rows
+            out[r["tree"], r["leaf"]] = r["count"]
+        return out
 
-    columns = "rep long, embedding array<double>, tree int, leaf int, block int, is_query boolean"
+    counts = by_leaf(in_leaf)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                x = np.stack(b["embedding"].tolist())
-                found = shared.value.leaves(x)
-                at, tree = np.repeat(np.arange(len(x)), trees), np.tile(np.arange(trees), len(x))
-                leaf_of = found.ravel()
-                block = b["rep"].to_numpy()[at] % blocks[tree, leaf_of]
-                yield pd.DataFrame({"rep": b["rep"].to_numpy()[at], "embedding": [x[i] for i in at], "tree": tree, "leaf": leaf_of, "block": block, "is_query": False})
+                seen = np.zeros((len(b), trees * leaves_n), bool)
+                for i, t, f in shared.value.visits(np.stack(b["embedding"].tolist()), counts, share * n):
+                    seen[i, t * leaves_n + f] = True
+                yield pd.DataFrame({"rep": b["rep"], "embedding": b["embedding"], "visited": [np.flatnonzero(x).astype(np.int32) for x in seen], "seen": [np.packbits(x).tobytes() for x in seen]})
 
-    queries = reps.where("asked").select("rep", "embedding").mapInPandas(visit, columns)
-    placed = reps.select("rep", "embedding").mapInPandas(place, columns)
+    if not routed.where("asked").limit(1).count():
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    asking = stored(routed.where("asked").select("rep", "embedding").mapInPandas(visit, "rep long, embedding array<double>, visited array<int>, seen binary"), "vector-visits")
+    visits = asking.withColumn("at", F.explode("visited")).withColumns({"tree": F.floor(F.col("at") / leaves_n).cast("int"), "leaf": (F.col("at") % leaves_n).cast("int")})
+    visitors = by_leaf(visits)
+    blocks, parties = np.maximum(1, -(-counts // BLOCK)), -(-visitors // QUERIES)
+    # How many blocks of candidates and of queries a leaf has: at most trees times 2 ** depth rows, however many vectors.
+    known = [(t, f, int(blocks[t, f]), int(parties[t, f])) for t in range(trees) for f in range(leaves_n) if parties[t, f]]
+    sizes = F.broadcast(spark.createDataFrame(known, "tree int, leaf int, blocks int, parties int"))
+    task = ["tree", "leaf", "block", "party"]
+    own, other = lambda m: F.pmod(F.xxhash64("rep"), F.col(m)).cast("int"), lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    queries = visits.select("rep", "embedding", "seen", "tree", "leaf").join(sizes, ["tree", "leaf"]).withColumn("party", own("parties")).withColumn("block", other("blocks"))
+    queries = queries.select("rep", "embedding", *task, "seen", F.lit(None).cast("array<int>").alias("leaves"))
+    placed = routed.select("rep", "embedding", "leaves", F.posexplode("leaves").alias("tree", "leaf")).join(sizes, ["tree", "leaf"]).withColumn("block", own("blocks")).withColumn("party", other("parties"))
+    placed = placed.select("rep", "embedding", *task, F.lit(None).cast("binary").alias("seen"), "leaves")
 
     def best(task: pd.DataFrame) -> pd.DataFrame:
-        q, c = task[task["is_query"]], task[~task["is_query"]]
-        out = []
+        q, c = task[task["seen"].notna()], task[task["seen"].isna()]
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "candidate": np.zeros(0, np.int64), "score": np.zeros(0)})]
         if len(q) and len(c):
-            ids, x = c["rep"].to_numpy(), np.stack(c["embedding"].tolist())
-            for at in range(0, len(q), 1024):
-                part = q.iloc[at : at + 1024]
-                scores = np.stack(part["embedding"].tolist()) @ x.T
-                names = part["rep"].to_numpy()
-                if len(ids) > k + 1:
-                    # All that tie with the last of the best come along.
-                    least = -np.partition(-scores, k, axis=1)[:, k]
-                    row, column = np.nonzero(scores >= least[:, None])
-                else:
-                    row, column = (a.ravel() for a in np.indices(scores.shape))
-                out.append(pd.DataFrame({"query": names[row], "candidate": ids[column], "score": scores[row, column]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "candidate": [], "score": []})
-
-    found = queries.unionByName(placed).groupBy("tree", "leaf", "block").applyInPandas(best, "query long, candidate long, score double")
-    found = found.groupBy("query", "candidate").agg(F.max("score").alias("score"))
+            tree = int(task["tree"].iloc[0])
+            ids, x, leaves = c["rep"].to_numpy(), np.stack(c["embedding"].tolist()), np.stack(c["leaves"].tolist())
+            earlier = leaves[:, :tree] + np.arange(tree) * leaves_n
+            for name, vector, seen in zip(q["rep"], q["embedding"], q["seen"], strict=True):
+                new = np.flatnonzero(~np.unpackbits(np.frombuffer(seen, np.uint8))[earlier].any(axis=1))
+                mine = x[new]
+                if len(new) > k + 1:
+                    # All that may tie with the last of the best come along.
+                    rough = mine @ vector
+                    new = new[rough >= np.partition(rough, -k - 1)[-k - 1] - 1e-9 * (1 + np.abs(rough).max())]
+                    mine = x[new]
+                out.append(pd.DataFrame({"query": name, "candidate": ids[new], "score": (mine * vector).sum(axis=1)}))
+        return pd.concat(out)
+
+    found = queries.unionByName(placed).groupBy(*task).applyInPandas(best, "query long, candidate long, score double")
     top = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
     found = found.withColumn("r", F.row_number().over(top)).where(F.col("r") <= k + 1).drop("r")
     expanded = found.join(members.select(F.col("rep").alias("candidate"), "ids"), "candidate").select("query", "score", F.explode("ids").alias("vec_id"))
     ranked = expanded.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1)
     lists = stored(ranked.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("r", "vec_id", "score"))).alias("found")), "vector-found")
+    for used in (routed, asking, reps):
+        discard(used)
     wanted = asked.join(members.select("digest", F.col("rep").alias("query")), "digest").join(lists, "query").select(F.col("vec_id").alias("query_id"), "found")
     others = wanted.select("query_id", F.slice(F.filter("found", lambda f: f["vec_id"] != F.col("query_id")), 1, k).alias("found"))
     return others.select("query_id", F.posexplode("found").alias("p", "f")).select("query_id", (F.col("p") + 1).alias("rank"), "f.vec_id", "f.score")
