@@ -1,18 +1,21 @@
 """Engine, store, attention, inference and mapper, on small inputs with known results."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.engine import Engine, evolution_from_text, schema_pairs
-from weftgraph.functions.handles import link_handle, node_handle
+from weftgraph.functions.handles import link_handle, md5, node_handle
 from weftgraph.operators import accessors, linking
-from weftgraph.operators.attention import Attention, context_lines
-from weftgraph.operators.evolution import Evolution, fitness_importance, substituted
+from weftgraph.operators.attention import Attention, Rates, context_lines
+from weftgraph.operators.evolution import FITNESS, Evolution, fitness_called, fitness_importance, substituted
+from weftgraph.operators.linking import Knowledge, Limits
 from weftgraph.operators.paths import find_paths
-from weftgraph.operators.store import SKIP, THROW, Store, federated
-from weftgraph.plans.compiler import QueryOptions
+from weftgraph.operators.store import SKIP, THROW, Federation, Peer, Store, federated
+from weftgraph.plans.compiler import QueryOptions, best_share
 from weftgraph.plans.patterns import parse
-from weftgraph.sources.expressions import NODES, as_links
+from weftgraph.sources.expressions import NODES, as_links, load_expressions
 from weftgraph.sources.relational import TableSpec, map_table, referenced_rows
 from pathlib import Path
 
@@ -191,12 +194,26 @@ def test_links_are_created_once(engine):
 
 def test_evolution(engine):
     e = Evolution("(Similarity $a $b)", fitness_importance, population=10, generations=2, selection_rate=0.3, correlations=[(parse("(Inheritance $x $y)"), {"x": "$a"}, {"$a": "$y"})])
+    assert engine.evolve(e, "other") and engine.attention("other").edges.count() == 0  # correlation queries answer by positive importance only
+    engine.query("(Inheritance $x $y)", attention_update=True, attention_correlation="both")
+    weight = engine.attention().edges.agg(F.sum("cnt")).first()[0]
     found = engine.evolve(e)
     fits = [r["strength"] for r in found]
-    assert fits == sorted(fits) and engine.attention().edges.count() > 0
+    assert fits == sorted(fits) and engine.attention().edges.agg(F.sum("cnt")).first()[0] > weight
+    assert len(e.statistics) == 2 and e.statistics[0]["renew_rate"] == 1 and e.statistics[1]["renew_rate"] == 0
+    assert Evolution("(a $b)", fitness_importance, selection_rate=0.25, elitism_rate=0.05).select(10, random.Random(1))[0] == 0
+    assert len(Evolution("(a $b)", fitness_importance, selection_rate=0.25).select(10, random.Random(1))) == 3  # 2.5 rounds up
+    with pytest.raises(ValueError):
+        Evolution("(a $b)", fitness_importance, correlations=[(["VARIABLE", "x"], {}, {})])
+    called = Evolution("(Similarity $a $b)", fitness_called(lambda rows: [float(i) for i in range(len(rows))], 14), population=14, generations=1)
+    assert [r["strength"] for r in engine.evolve(called)] == [float(i) for i in range(14)]
+    strengths = engine.query('(Similarity "human" $v)').select(F.get("handles", F.lit(0)).alias("handle"), F.lit(0.5).alias("strength"))
+    for tag in ("multiply_strength", "inference_toy"):
+        one = Evolution('(Similarity "human" $v)', FITNESS[tag](strengths), generations=1)
+        assert {r["strength"] for r in engine.evolve(one)} == {0.5}
     assert substituted(parse("(Inheritance $x $y)"), {"x": "h"}).variables() == ["y"]
     text = '((query (Similarity $a $b)) (ff unit_test) (cq (Inheritance $x $y)) (cr ((x $a))) (cm (($a $y))))'
-    assert evolution_from_text(text).correlations[0][1] == {"x": "$a"}
+    assert evolution_from_text(text, strengths).correlations[0][1] == {"x": "$a"}
     assert schema_pairs("a:b,c:d") == [("a", "b"), ("c", "d")]
 
 
@@ -221,3 +238,87 @@ def test_every_registered_query_has_a_name_in_sql_or_none():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rounds_of_link_creation(engine):
+    assert engine.creation_rounds("(Similarity $a $b)", "template", rounds=3, template=parse("(Alike $a $b)")) == [{"created": 14, "unproductive": 0, "attempts": 0}, {"created": 0, "unproductive": 0, "attempts": 14}]
+    assert engine.creation_rounds("(Similarity $a $b)", "template", template=parse("(Alike $a $b)"), limits=Limits(unproductive=3)) == [{"created": 0, "unproductive": 3, "attempts": 0}]
+    assert engine.creation_rounds("(Similarity $a $b)", "template", template=parse("(Near $a $b)"), limits=Limits(created=4)) == [{"created": 4, "unproductive": 0, "attempts": 0}]
+    assert engine.query("(Near $a $b)").count() == 4
+    with pytest.raises(NotImplementedError):
+        engine.creation_rounds("(Similarity $a $b)", "remote_link_creator")
+
+
+def test_links_with_strengths(spark, engine):
+    known = Knowledge(engine.store, engine.strengths_or_none(), Attention.empty(spark))
+    h = [node_handle(f'"{x}"') for x in ("human", "monkey", "chimp")]
+    rows = lambda *r: spark.createDataFrame(list(r), "a string, b string, strength double")
+    known, done = known.add_or_update("Implication", rows((h[0], h[1], 0.5), (h[0], h[2], 0.05)))
+    assert [(r["created"], r["updated"]) for r in done.collect()] == [(True, False)]
+    assert known.attention.determiners.count() == 2 and known.attention.edges.count() == 2
+    known, done = known.add_or_update("Implication", rows((h[0], h[1], 0.5)))
+    assert [(r["created"], r["updated"]) for r in done.collect()] == [(False, False)]
+    known, done = known.add_or_update("Implication", rows((h[0], h[1], 0.7)))
+    assert [(r["created"], r["updated"]) for r in done.collect()] == [(False, True)]
+    assert [r["strength"] for r in known.strengths.collect()] == [0.7]
+    names = linking.mentioned(engine.store, engine.store.match([node_handle("Similarity"), h[0], h[2]]).select("handle"))
+    assert sorted(r["name"] for r in names.collect()) == ['"chimp"', '"human"', "Similarity"]
+
+
+def test_inference_through_links(spark):
+    facts = spark.createDataFrame([("p", "c1", 1.0), ("q", "c2", 0.5), ("p", "c3", 0.4), ("q", "c3", 0.6)], "owner string, key string, w double")
+    none = spark.createDataFrame([], "a string, b string")
+    equal = spark.createDataFrame([("c1", "c2", 0.5)], "a string, b string, strength double")
+    got = linking.implications(facts, none, 0.1).collect()
+    assert [(r["a"], r["b"], round(r["strength"], 6)) for r in got] == [("q", "p", round(0.4 / 1.1, 6))]
+    # p holds of c2 too now, with 1.0 * 0.5.
+    got = linking.implications(facts, none, 0.1, equal=equal).collect()
+    assert [(r["a"], r["b"], round(r["strength"], 6)) for r in got] == [("q", "p", round(0.9 / 1.1, 6))]
+    share = spark.createDataFrame([("p", "base"), ("q", "base")], "owner string, name string")
+    assert linking.implications(facts, none, 0.1, mentions=share).count() == linking.and_predicates(facts, none, share).count() == 0
+    assert linking.and_predicates(facts, none).count() == 1
+    # A key that everyone has pairs no one by itself, and what it adds to others isn't lost.
+    rows = [(f"o{i}", "hub", 1) for i in range(40)] + [(f"o{i}", f"k{i // 2}", 9) for i in range(40)]
+    hubs = spark.createDataFrame(rows, "owner string, key string, w int")
+    pairs = linking.shared_weights(hubs, 0.5)
+    assert pairs.count() == 20 and {r["common"] for r in pairs.collect()} == {10}
+
+
+def test_federation_writes_to_writable_peers(spark, engine):
+    nodes, links = load_expressions(spark.createDataFrame([('(New "a" "b")',)], "value string"))
+    both = Federation((Peer(Store.empty(spark)), Peer(engine.store, writable=False)))
+    after = both.added(Store(nodes, links))
+    new = [r["handle"] for r in links.collect()]
+    assert after.store().links.where(F.col("handle").isin(new)).count() == 1
+    assert after.peers[1].store().links.where(F.col("handle").isin(new)).count() == 0
+    near = after.peers[1].fetched([node_handle("Similarity"), None, None])
+    assert near.local.links.count() == 14 and near.released().local is None
+    kept = after.peers[0].flushed()
+    assert kept.written is None and kept.store().links.count() == 1
+    gone = after.deleted(links.select("handle")).store()
+    assert gone.links.where(F.col("handle").isin(new)).count() == 0
+    assert Store.empty(spark).is_empty() and not engine.store.is_empty()
+    assert engine.store.matching(name='"human"')[0].count() == 1 and engine.store.matching(key=[node_handle("Similarity"), None, None])[1].count() == 14
+
+
+def test_contexts_are_kept_by_name(engine, tmp_path):
+    ask = ('(Similarity "human" $v)', "_0:$v", "$v")
+    first = engine.create_context("c", *ask, cache=str(tmp_path))
+    engine.contexts.clear()
+    again = engine.create_context("c", "(no $such)", "", "", cache=str(tmp_path))
+    assert again.nodes.count() == first.nodes.count() > 0
+    assert engine.create_context("c", "(Similarity $no $such)", "", "", cache=str(tmp_path), recreate=True).nodes.count() == 0
+    with pytest.raises(ValueError):
+        engine.create_context("c", *ask, cache=str(tmp_path), use_cache=False, recreate=True)
+    engine.set_rates(Rates(0.5, 0.2, 0.2), "c")
+    assert engine.attention("c").rates.rent == 0.5 and engine.attention("d").rates.rent == 0.75
+
+
+def test_best_share(spark):
+    rows = [(md5(str(i)), float(i % 3 == 0) + 0.5 * float(i == 7)) for i in range(300)]
+    df = spark.createDataFrame(rows, "handle string, importance double")
+    order = [h for h, i in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    for share, n in ((0.001, 1), (0.3, 90), (0.34, 102), (0.5, 150), (1, 1)):
+        for sorted_rows in (0, 1000):
+            assert sorted(r["handle"] for r in best_share(df, share, sorted_rows).collect()) == sorted(order[:n])
+    assert best_share(df.limit(0), 0.3).count() == 0

@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..runtime import stored
 
 
-def path_importance(total: Column, n: Column, compat_average: bool) -> Column:
-    """compat_average: a path of n > 1 links divides by n + 1."""
+def path_importance(total: Column, n: Column, compat_average: bool, greatest: bool = False) -> Column:
+    """compat_average: a path of n > 1 links divides by n + 1. greatest: total is the greatest link's and stays as it is."""
+    if greatest:
+        return total
     return total / (F.when(n > 1, n + 1).otherwise(n) if compat_average else n)
 
 
 def find_paths(
-    edges: DataFrame, source: str | None, target: str | None, incomplete: bool = False, all_prefixes: bool = False, max_hops: int | None = None, compat_average: bool = True
+    edges: DataFrame, source: str | None, target: str | None, incomplete: bool = False, all_prefixes: bool = False, max_hops: int | None = None, compat_average: bool = True, greatest: bool = False
 ) -> DataFrame:
     """links (in source-to-target order), first, last, importance of the simple paths over edges (handle, src, dst, importance).
 
@@ -37,7 +39,7 @@ def find_paths(
     for hop in count(1):
         here = F.element_at("nodes", -1)
         grown = front.join(step, (here == F.col("_near")) & ~F.array_contains("nodes", F.col("_far")))
-        grown = stored(grown.select(F.col("links").alias("before"), F.array_append("links", F.col("_link")).alias("links"), F.array_append("nodes", F.col("_far")).alias("nodes"), (F.col("total") + F.col("_importance")).alias("total")), "paths")
+        grown = stored(grown.select(F.col("links").alias("before"), F.array_append("links", F.col("_link")).alias("links"), F.array_append("nodes", F.col("_far")).alias("nodes"), (F.greatest("total", "_importance") if greatest else F.col("total") + F.col("_importance")).alias("total")), "paths")
         done = F.element_at("nodes", -1) == goal if goal else F.lit(False)
         shape = ["links", "nodes", "total"]
         if incomplete:
@@ -47,7 +49,7 @@ def find_paths(
                 out.append(grown.where(~done).select(shape))
             else:
                 n = F.size("links")
-                best = F.struct((-path_importance(F.col("total"), n, compat_average)).alias("i"), F.element_at("links", -1).alias("link"), "links", "nodes", "total")
+                best = F.struct((-path_importance(F.col("total"), n, compat_average, greatest)).alias("i"), F.element_at("links", -1).alias("link"), "links", "nodes", "total")
                 out.append(grown.where(~done).groupBy("before").agg(F.min(best).alias("b")).select("b.links", "b.nodes", "b.total"))
         if goal:
             out.append(grown.where(done).select(shape))
@@ -63,5 +65,5 @@ def find_paths(
     ordered = (lambda c: F.reverse(c)) if backward else (lambda c: F.col(c))
     nodes = ordered("nodes")
     return found.select(
-        ordered("links").alias("links"), F.element_at(nodes, 1).alias("first"), F.element_at(nodes, -1).alias("last"), path_importance(F.col("total"), F.size("links"), compat_average).alias("importance")
+        ordered("links").alias("links"), F.element_at(nodes, 1).alias("first"), F.element_at(nodes, -1).alias("last"), path_importance(F.col("total"), F.size("links"), compat_average, greatest).alias("importance")
     )

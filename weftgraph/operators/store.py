@@ -33,6 +33,33 @@ class Store:
         """Those of handles (handle) that the store holds."""
         return handles.join(self.nodes.select("handle").unionByName(self.links.select("handle")), "handle", "left_semi")
 
+    def is_empty(self) -> bool:
+        return not self.nodes.limit(1).count() and not self.links.limit(1).count()
+
+    def matching(self, kind: str | None = None, name: str | None = None, key: list[str | None] | None = None, composite_type: list[str] | None = None, is_toplevel: bool | None = None) -> tuple[DataFrame, DataFrame]:
+        """Nodes by type and name and links by type, targets (None for any) and composite type; what isn't given matches all.
+
+        A name asks for nodes alone; targets or a composite type (type handles) for links alone.
+        """
+        nodes, links = self.nodes, self.links
+        if kind is not None:
+            nodes, links = nodes.where(F.col("type") == kind), links.where(F.col("type") == kind)
+        if is_toplevel is not None:
+            nodes, links = nodes.where(F.col("is_toplevel") == is_toplevel), links.where(F.col("is_toplevel") == is_toplevel)
+        if name is not None:
+            nodes, links = nodes.where(F.col("name") == name), links.limit(0)
+        if key is not None:
+            nodes = nodes.limit(0)
+            links = links.where(F.col("arity") == len(key))
+            for i, h in enumerate(key):
+                if h is not None:
+                    links = links.where((F.col(f"t{i}") if i < 4 else F.get("targets", F.lit(i))) == h)
+        if composite_type is not None:
+            nodes = nodes.limit(0)
+            wanted = self.composite_types().where(F.col("composite_type") == F.array(*[F.lit(t) for t in composite_type])).select("handle")
+            links = links.join(wanted, "handle", "left_semi")
+        return nodes, links
+
     def targets(self, handle: str) -> DataFrame:
         return self.links.where(F.col("handle") == handle).select("targets")
 
@@ -131,11 +158,14 @@ class Store:
             gone = stored_together(parts)
         return Store(self.nodes.join(gone, "handle", "left_anti"), self.links.join(gone, "handle", "left_anti"))
 
-    def re_clustered(self, path: str, files: int) -> Store:
-        """The tables written anew, links by their first target, so that filters on it skip files."""
+    def re_clustered(self, path: str, files: int, schema: tuple[int, ...] = (0, 1)) -> Store:
+        """The tables written anew, links by the targets at schema's positions (0 to 3), so that filters on the first skip files."""
         spark = self.nodes.sparkSession
+        if not schema or any(not 0 <= i < 4 for i in schema):
+            raise ValueError("an index is over some of the first four targets")
+        by = [f"t{i}" for i in schema]
         self.nodes.repartitionByRange(files, "handle").sortWithinPartitions("handle").write.mode("overwrite").parquet(f"{path}/nodes")
-        self.links.repartitionByRange(files, "t0", "t1").sortWithinPartitions("t0", "t1").write.mode("overwrite").parquet(f"{path}/links")
+        self.links.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/links")
         return Store(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/links"))
 
     def permitted(self, patterns: list[list[str | None]], kind: str = "Expression") -> Store:
@@ -165,8 +195,9 @@ def type_handle(kind: str) -> str:
     return md5(kind)
 
 
-def federated(stores: list[Store], writable: list[bool] | None = None) -> Store:
+def federated(stores: list[Store]) -> Store:
     """The union of stores; of atoms that several hold, that of the first."""
+
     def first(tables: list[DataFrame]) -> DataFrame:
         columns = tables[0].columns
         ranked = None
@@ -176,3 +207,66 @@ def federated(stores: list[Store], writable: list[bool] | None = None) -> Store:
         return ranked.groupBy("handle").agg(F.min_by("r", F.col("r.i")).alias("r")).select("r.row.*")
 
     return Store(first([s.nodes for s in stores]), first([s.links for s in stores]))
+
+
+@dataclass(frozen=True)
+class Peer:
+    """A remote store in layers: what was written here, then what was saved or fetched, then the remote itself."""
+
+    remote: Store
+    writable: bool = True
+    written: Store | None = None
+    local: Store | None = None
+
+    def store(self) -> Store:
+        return federated([s for s in (self.written, self.local, self.remote) if s is not None])
+
+    def added(self, new: Store, rule: str = REPLACE) -> Peer:
+        """new in the layer of writes; a read-only peer stays as it is."""
+        if not self.writable:
+            return self
+        if rule == SKIP:
+            known = self.store()
+            new = Store(new.nodes.join(known.nodes.select("handle"), "handle", "left_anti"), new.links.join(known.links.select("handle"), "handle", "left_anti"))
+        elif rule == THROW and self.store().exist(new.nodes.select("handle").unionByName(new.links.select("handle"))).limit(1).count():
+            raise ValueError("an atom exists already")
+        return replace(self, written=new if self.written is None else federated([new, self.written]))
+
+    def fetched(self, key: list[str | None], kind: str = "Expression") -> Peer:
+        """The remote's links of a pattern, and the nodes that they hold, kept near."""
+        links = stored(self.remote.match(key, kind), "fetched")
+        nodes = stored(self.remote.nodes.join(links.select(F.explode("targets").alias("handle")).distinct(), "handle", "left_semi"), "fetched")
+        near = Store(nodes, links)
+        return replace(self, local=near if self.local is None else federated([near, self.local]))
+
+    def flushed(self) -> Peer:
+        """What was written moves to the local layer, as tables."""
+        if self.written is None:
+            return self
+        both = federated([self.written] + ([self.local] if self.local is not None else []))
+        return replace(self, written=None, local=Store(stored(both.nodes, "local"), stored(both.links, "local")))
+
+    def released(self) -> Peer:
+        """Without what was fetched or saved; writes are kept."""
+        return replace(self, local=None)
+
+
+@dataclass(frozen=True)
+class Federation:
+    """Several peers read as one store, the first that holds an atom counts; writes go to every writable peer."""
+
+    peers: tuple[Peer, ...]
+
+    def store(self) -> Store:
+        return federated([p.store() for p in self.peers])
+
+    def added(self, new: Store, rule: str = REPLACE) -> Federation:
+        return replace(self, peers=tuple(p.added(new, rule) for p in self.peers))
+
+    def deleted(self, handles: DataFrame, with_incoming: bool = False, with_targets: bool = False) -> Federation:
+        """Without handles at every writable peer."""
+
+        def without(s: Store | None) -> Store | None:
+            return None if s is None else s.delete(handles, with_incoming, with_targets)
+
+        return replace(self, peers=tuple(replace(p, remote=without(p.remote), written=without(p.written), local=without(p.local)) if p.writable else p for p in self.peers))

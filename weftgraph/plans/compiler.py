@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.paths import find_paths
+from ..runtime import stored
 from .patterns import And, AndNot, Chain, Constant, Or, Query, Template, Variable, parse, parse_tokens
 
 
@@ -22,7 +23,8 @@ class QueryOptions:
     """How a query is answered.
 
     focus_strictness s: 0 keeps all matches of a template, 1 the best, else the best max(1, round(s * n)).
-    greatest: an AND's importance is its clauses' greatest, not their average. compat_path_average: a path of k > 1 links
+    greatest: an AND's importance is its clauses' greatest, not their average. merge_handles: joined answers keep both sides'
+    handles and paths, else the left side's. path_greatest: a path is as important as its most important link. compat_path_average: a path of k > 1 links
     divides its importance by k + 1. max_hops: a search whose paths can still grow then raises.
     """
 
@@ -37,6 +39,8 @@ class QueryOptions:
     all_prefixes: bool = False
     populate_expressions: bool = False
     greatest: bool = False
+    merge_handles: bool = True
+    path_greatest: bool = False
     compat_path_average: bool = True
     max_hops: int | None = None
     order_by: tuple[str, ...] = ()
@@ -99,9 +103,7 @@ class Compiler:
             df = df.where(F.col("importance") > 0)
         s = self.options.focus_strictness
         if s:
-            # The share of matches is a count of its own, so that only the best few are sorted.
-            keep = 1 if s == 1 else max(1, int(s * df.count() + 0.5))
-            df = df.orderBy(F.desc("importance"), "handle").limit(keep)
+            df = best_share(df, s)
         shape = [F.array("handle").alias("handles"), F.array().cast("array<array<string>>").alias("paths"), "importance", F.lit(0.0).alias("strength")]
         return Branch(df.select(*shape, *[f"v_{n}" for n in names]), frozenset(names))
 
@@ -145,7 +147,7 @@ class Compiler:
         source, target = (t.handle if isinstance(t, Constant) else None for t in (query.source, query.target))
         o = self.options
         incomplete = o.allow_incomplete_paths or source is None or target is None
-        found = find_paths(edges, source, target, incomplete=incomplete, all_prefixes=o.all_prefixes, max_hops=o.max_hops, compat_average=o.compat_path_average)
+        found = find_paths(edges, source, target, incomplete=incomplete, all_prefixes=o.all_prefixes, max_hops=o.max_hops, compat_average=o.compat_path_average, greatest=o.path_greatest)
         shape = [F.array().cast("array<string>").alias("handles"), F.array("links").alias("paths"), "importance", F.lit(1.0).alias("strength")]
         end = query.source if source is None else query.target if target is None else None
         if end is None:
@@ -175,8 +177,8 @@ class Compiler:
         total = F.greatest("_sum", "_i") if self.options.greatest else F.col("_sum") + F.col("_i")
         return Branch(
             df.select(
-                F.array_union("handles", "_h").alias("handles"),
-                F.array_union("paths", "_p").alias("paths"),
+                (F.array_union("handles", "_h") if self.options.merge_handles else F.col("handles")).alias("handles"),
+                (F.array_union("paths", "_p") if self.options.merge_handles else F.col("paths")).alias("paths"),
                 total.alias("_sum"),
                 F.lit(0.0).alias("importance"),
                 (F.col("strength") * F.col("_s")).alias("strength"),
@@ -215,6 +217,45 @@ class Compiler:
         return [Branch(distinct_assignments(union(group)), bound) for bound, group in by_bound.items()]
 
 
+#: Cells of a histogram, so rows that the driver sees of one; rows that one task may sort.
+CELLS, SORTED = 4096, 100_000
+
+
+def best_share(df: DataFrame, share: float, sorted_rows: int = SORTED) -> DataFrame:
+    """The best max(1, round(share * n)) of df's n rows (1: the best), by importance and then handle.
+
+    df is stored, so that the cut holds for the rows it was found in. Up to sorted_rows are the first of an order; more are
+    found by a filter, without sorting: the importance at the cut comes from histograms over
+    ever smaller ranges, and among rows of just that importance the handle from counts of ever longer prefixes (handles are
+    hexadecimal); the driver sees CELLS counts at a time.
+    """
+    df = stored(df, "matches")
+    value, handle = F.col("importance"), F.col("handle")
+    n, low, high = df.agg(F.count(F.lit(1)), F.min(value), F.max(value)).first()
+    left = 1 if share == 1 else max(1, int(share * n + 0.5))
+    if left >= n:
+        return df
+    if left <= sorted_rows:
+        return df.orderBy(value.desc(), handle).limit(left)
+    while low < high:
+        cell = F.least(F.lit(CELLS - 1), F.floor((F.lit(high) - value) / F.lit(high - low) * CELLS))
+        for r in df.where(value.between(low, high)).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).orderBy("cell").collect():
+            if r["n"] >= left:
+                low, high = r["low"], r["high"]
+                break
+            left -= r["n"]
+    prefix, held = "", CELLS + 1
+    while held > CELLS:
+        longer = F.substring(handle, 1, len(prefix) + 3)
+        for r in df.where((value == low) & handle.startswith(prefix)).groupBy(longer.alias("prefix")).count().orderBy("prefix").collect():
+            if r["count"] >= left:
+                prefix, held = r["prefix"], r["count"]
+                break
+            left -= r["count"]
+    last = df.where((value == low) & handle.startswith(prefix)).select(handle).orderBy(handle).limit(left).collect()[-1]["handle"]
+    return df.where((value > low) | ((value == low) & (handle <= last)))
+
+
 def distinct_assignments(answers: DataFrame) -> DataFrame:
     """The most important answer of each assignment; null bindings compare equal. Partial sums before the shuffle."""
     names = [c for c in answers.columns if c.startswith("v_")]
@@ -244,4 +285,4 @@ def assignment(answers: DataFrame) -> Column:
     return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["value"].isNotNull()))
 
 
-__all__ = ["Branch", "Compiler", "QueryOptions", "assignment", "distinct_assignments", "top_answers", "union"]
+__all__ = ["Branch", "Compiler", "QueryOptions", "assignment", "best_share", "distinct_assignments", "top_answers", "union"]

@@ -7,14 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions.handles import link_column, md5, node_column, node_handle
 from .operators import accessors, linking
-from .operators.attention import Attention
+from .operators.attention import Attention, context_lines
 from .operators.paths import find_paths
-from .operators.store import SKIP, Store, federated
+from .operators.store import SKIP, Federation, Peer, Store, federated
 from .plans.compiler import Compiler, QueryOptions, top_answers
-from .plans.patterns import And, Constant, Or, Template, Variable, parse
-from .sources.expressions import as_links
+from .plans.patterns import And, Chain, Constant, Or, Template, Variable, parse
+from .sources.expressions import as_links, load_expressions
 from .sources.relational import TableSpec, map_table, relation
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -242,9 +243,104 @@ def answers_grouped(spark: SparkSession, d: str) -> DataFrame:
     return ask(spark, d, "(and (PlacedBy $o $c) (InNation $c $n))", (placed_by, in_nation)).groupBy(F.col("v_n").alias("n")).agg(F.count(F.lit(1)).alias("answers"))
 
 
+def serves(spark: SparkSession, d: str) -> DataFrame:
+    """The same pairs as InNation under another name."""
+    return relation(table(spark, d, "customer"), "Serves", named("customer", "c_custkey"), named("nation", "c_nationkey"))
+
+
+SERVES = rel_sql("Serves", "'customer:' || c_custkey", "'nation:' || c_nationkey", "customer")
+
+
+@query(f"""SELECT x.a AS c, x.b AS n, CASE WHEN i.i > 0 THEN x.h WHEN i.i < 0 THEN y.h ELSE least(x.h, y.h) END AS handles, greatest(i.i, 0) AS importance, 0.0::DOUBLE AS strength
+FROM {IN_NATION} x JOIN {SERVES} y ON x.a = y.a AND x.b = y.b JOIN {IMPORTANCE} i ON i.h = x.h""")
+def unique_assignment(spark: SparkSession, d: str) -> DataFrame:
+    """Two clauses of an OR bind the same values; the more important answer of either stays."""
+    q = Or((rel("InNation", "$c", "$n"), rel("Serves", "$c", "$n")))
+    return flat(ask(spark, d, q, (in_nation, serves), QueryOptions(unique_assignment=True), balance_importance(spark, d)), "c", "n")
+
+
+@query(f"SELECT x.a AS x, y.a AS y FROM {IN_NATION} x JOIN {SERVES} y ON x.b = y.b AND x.a <> y.a WHERE x.b = {s('nation:3')}")
+def unique_value(spark: SparkSession, d: str) -> DataFrame:
+    """Different variables bind different values: no customer meets itself."""
+    found = ask(spark, d, "(and (InNation $x nation:3) (Serves $y nation:3))", (in_nation, serves), QueryOptions(unique_value=True))
+    return found.select(F.col("v_x").alias("x"), F.col("v_y").alias("y"))
+
+
+ORDERS_OF = f"{PLACED_BY} z JOIN {IMPORTANCE} i ON i.c = z.b"
+
+
+@query(f"SELECT z.a AS o, round(i.i / 2, 6) AS importance FROM {ORDERS_OF}")
+def importance_average(spark: SparkSession, d: str) -> DataFrame:
+    found = ask(spark, d, "(and (PlacedBy $o $c) (InNation $c $n))", (placed_by, in_nation), None, balance_importance(spark, d))
+    return found.select(F.col("v_o").alias("o"), F.round("importance", 6).alias("importance"))
+
+
+@query(f"SELECT z.a AS o, round(greatest(i.i, 0), 6) AS importance FROM {ORDERS_OF}")
+def importance_greatest(spark: SparkSession, d: str) -> DataFrame:
+    found = ask(spark, d, "(and (PlacedBy $o $c) (InNation $c $n))", (placed_by, in_nation), QueryOptions(greatest=True), balance_importance(spark, d))
+    return found.select(F.col("v_o").alias("o"), F.round("importance", 6).alias("importance"))
+
+
+@query(f"SELECT z.a AS o, z.h AS handles FROM {ORDERS_OF}")
+def merge_left_handles(spark: SparkSession, d: str) -> DataFrame:
+    found = ask(spark, d, "(and (PlacedBy $o $c) (InNation $c $n))", (placed_by, in_nation), QueryOptions(merge_handles=False))
+    return found.select(F.col("v_o").alias("o"), F.array_join("handles", " ").alias("handles"))
+
+
+@query("SELECT count(*) AS count FROM orders JOIN customer ON o_custkey = c_custkey")
+def engine_count_only(spark: SparkSession, d: str) -> DataFrame:
+    links = links_of(spark, d, placed_by, in_nation)
+    return Engine(spark, Store(links.limit(0).select("handle"), links)).query("(and (PlacedBy $o $c) (InNation $c $n))", QueryOptions(count_only=True))
+
+
 # Paths
 
 
+def part_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Of an Under link, by the number of its lower part."""
+    parts = table(spark, d, "part").select(node_column(named("part", "p_partkey")).alias("t1"), (F.col("p_partkey") % 7 / 10.0).alias("importance"))
+    return under(spark, d).join(parts, "t1").select("handle", "importance")
+
+
+WEIGHED = f"(SELECT u.*, i FROM {UNDER} u JOIN (SELECT {sym(chr(39) + 'part:' + chr(39) + ' || p_partkey')} AS k, p_partkey % 7 / 10.0 AS i FROM part) w ON w.k = u.a)"
+FROM_150 = f"""WITH RECURSIVE e AS {WEIGHED}, p AS (SELECT [h] AS links, [{s('part:150')}, b] AS nodes, b AS here, CAST(i AS DOUBLE) AS total, CAST(i AS DOUBLE) AS top FROM e WHERE a = {s('part:150')}
+UNION ALL SELECT list_append(links, h), list_append(nodes, b), b, total + i, greatest(top, i) FROM p JOIN e ON e.a = p.here WHERE NOT list_contains(nodes, b) AND here <> {s('part:1')})"""
+
+
+def part_chain(source: str | None, target: str | None) -> Chain:
+    end = lambda name, v: Constant(node_handle(name)) if name else Variable(v)
+    return Chain(0, 1, 2, end(source, "x"), end(target, "y"), rel("Under", "$p", "$q"))
+
+
+@query(f"{FROM_150} SELECT array_to_string(links, ' ') AS path, round(total / CASE WHEN len(links) > 1 THEN len(links) + 1 ELSE 1 END, 9) AS importance FROM p WHERE here = {s('part:1')}")
+def chain_compiled(spark: SparkSession, d: str) -> DataFrame:
+    """A CHAIN through the compiler, its edges selected from a query's answers, with importance."""
+    found = ask(spark, d, part_chain("part:150", "part:1"), (under, in_nation), None, part_importance(spark, d))
+    return found.select(F.array_join(F.get("paths", F.lit(0)), " ").alias("path"), F.round("importance", 9).alias("importance"))
+
+
+@query(f"{FROM_150} SELECT array_to_string(links, ' ') AS path, round(top, 9) AS importance FROM p WHERE here = {s('part:1')}")
+def chain_greatest(spark: SparkSession, d: str) -> DataFrame:
+    found = ask(spark, d, part_chain("part:150", "part:1"), (under,), QueryOptions(path_greatest=True), part_importance(spark, d))
+    return found.select(F.array_join(F.get("paths", F.lit(0)), " ").alias("path"), F.round("importance", 9).alias("importance"))
+
+
+@query(f"""{FROM_150.replace(f" AND here <> {s('part:1')}", "")}, r AS (SELECT links, here, row_number() OVER (PARTITION BY links[:-2] ORDER BY round(total / CASE WHEN len(links) > 1 THEN len(links) + 1 ELSE 1 END, 12) DESC, links[-1]) AS nth FROM p)
+SELECT array_to_string(links, ' ') AS path, here AS y FROM r WHERE nth = 1 OR here NOT IN (SELECT a FROM e)""")
+def chain_best_child(spark: SparkSession, d: str) -> DataFrame:
+    """From one part to a variable end: dead ends, and of every path its most important continuation."""
+    found = ask(spark, d, part_chain("part:150", None), (under,), None, part_importance(spark, d))
+    return found.select(F.array_join(F.get("paths", F.lit(0)), " ").alias("path"), F.col("v_y").alias("y"))
+
+
+@query(f"{FROM_150} SELECT array_to_string(links, ' ') AS path, array_to_string(nodes[2:-2], ' ') AS hops FROM p WHERE here = {s('part:1')}")
+def path_hops(spark: SparkSession, d: str) -> DataFrame:
+    """The nodes along each path but its ends."""
+    found = ask(spark, d, part_chain("part:150", "part:1"), (under,))
+    found = found.withColumn("path", F.array_join(F.get("paths", F.lit(0)), " "))
+    return accessors.path_hops(found, under(spark, d), ">^$0_1_2", "path").select("path", F.array_join("hops", " ").alias("hops"))
+
+
 @query(f"""WITH RECURSIVE e AS {UNDER}, p AS (SELECT [h] AS links, [{s('part:150')}, b] AS nodes, b AS here FROM e WHERE a = {s('part:150')}
 UNION ALL SELECT list_append(links, h), list_append(nodes, b), b FROM p JOIN e ON e.a = p.here WHERE NOT list_contains(nodes, b) AND here <> {s('part:1')})
 SELECT array_to_string(links, ' ') AS path, CAST(len(links) AS BIGINT) AS hops FROM p WHERE here = {s('part:1')}""")
@@ -279,6 +375,24 @@ def store_outgoing(spark: SparkSession, d: str) -> DataFrame:
     return in_nation(spark, d).select("handle", F.posexplode("targets").alias("pos", "target"))
 
 
+@query(f"SELECT unnest([{s('InNation')}, a, b]) AS target, unnest([0, 1, 2]) AS pos FROM {IN_NATION} WHERE a = {s('customer:7')}")
+def store_targets(spark: SparkSession, d: str) -> DataFrame:
+    links = in_nation(spark, d)
+    one = links.where(F.col("t1") == node_handle("customer:7")).first()["handle"]
+    return Store(links.select("handle").limit(0), links).targets(one).select(F.posexplode("targets").alias("pos", "target"))
+
+
+@query(f"SELECT h AS handle FROM {IN_NATION} WHERE b = {s('nation:3')} UNION ALL SELECT h FROM {SUPPLIES_IN} WHERE b = {s('nation:3')}")
+def store_federation_writes(spark: SparkSession, d: str) -> DataFrame:
+    """New links reach the writable peer alone, and both peers are read as one store."""
+    none = in_nation(spark, d).select("handle", "type", F.col("expr").alias("name"), "is_toplevel").limit(0)
+    both = Federation((Peer(Store(none, in_nation(spark, d).where("false"))), Peer(Store(none, in_nation(spark, d)), writable=False)))
+    after = both.added(Store(none, supplied_in(spark, d)))
+    if after.peers[1].written is not None:
+        raise ValueError("a read-only peer was written to")
+    return after.store().links.where(F.col("t2") == node_handle("nation:3")).select("handle")
+
+
 @query(f"SELECT h AS handle FROM {IN_NATION} WHERE b = {s('nation:3')}")
 def store_match(spark: SparkSession, d: str) -> DataFrame:
     links = links_of(spark, d, in_nation, placed_by)
@@ -359,6 +473,26 @@ def attention_determiners(spark: SparkSession, d: str) -> DataFrame:
     return state.set_determiners(lists).importance().select("handle", F.round("importance", 9).alias("importance"))
 
 
+def ordered_sets(spark: SparkSession, d: str) -> DataFrame:
+    return order_sets(spark, d).select(F.array_sort("handles").alias("handles"))
+
+
+@query(f"SELECT src, h AS dst, count(*) AS cnt FROM (SELECT o, min(h) AS src FROM {BIG_SETS} GROUP BY o) JOIN {BIG_SETS} USING (o) WHERE h <> src GROUP BY 1, 2")
+def attention_asymmetric(spark: SparkSession, d: str) -> DataFrame:
+    return Attention.empty(spark).correlate_asymmetric(ordered_sets(spark, d)).edges
+
+
+@query("""WITH f AS (SELECT 'n' || n_nationkey AS n, 'r' || n_regionkey AS r, count(*) OVER (PARTITION BY n_regionkey) AS m FROM nation),
+c AS (SELECT r AS h, CAST(m AS BIGINT) AS cnt FROM f UNION ALL SELECT n, 1 FROM f) SELECT h AS handle, 0 + CASE WHEN h[1] = 'n' THEN round(1.0 / (SELECT count(*) FROM nation), 9) ELSE 0 END AS importance FROM (SELECT DISTINCT h FROM c)""")
+def attention_replay(spark: SparkSession, d: str) -> DataFrame:
+    """A file of lines: nations are determined by their regions, and each nation is stimulated once."""
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    nations = table(spark, d, "nation").select(name("n", "n_nationkey").alias("n"), name("r", "n_regionkey").alias("r"))
+    none = nations.limit(0).select(F.array("n").alias("handles"))
+    lines = context_lines(nations.select(F.array("n", "r").alias("handles")), none, nations.select(F.array("n").alias("handles")))
+    return Attention.empty(spark).replay(lines).nodes.select("handle", F.round(F.greatest("importance", F.lit(0.0)) / 0.9, 9).alias("importance"))
+
+
 # Inference and link creation
 
 
@@ -395,6 +529,54 @@ def link_creation(spark: SparkSession, d: str) -> DataFrame:
     return linking.instantiated(found, rel("Trades", "$n", "$m"), links).select("handle")
 
 
+def supplier_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as predicates that hold of the nations they deliver to, weighted by their largest discount there: few keys, each a hub."""
+    rows = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.groupBy(F.col("l_suppkey").cast("string").alias("owner"), F.col("c_nationkey").cast("string").alias("key")).agg(F.round(F.max("l_discount") * 100).cast("long").alias("w"))
+
+
+HUB_FACTS = "(SELECT CAST(l_suppkey AS VARCHAR) AS owner, CAST(c_nationkey AS VARCHAR) AS key, CAST(round(max(l_discount) * 100) AS BIGINT) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+HUB_COUNTED = COUNTED.replace(FACTS, HUB_FACTS)
+
+
+@query(f"""WITH {HUB_COUNTED}, e AS (SELECT a, b, common / CAST(ca.w + cb.w - common AS DOUBLE) AS strength FROM p JOIN c ca ON ca.owner = a JOIN c cb ON cb.owner = b)
+SELECT a, b, round(strength, 6) AS strength FROM e WHERE strength >= 0.9 UNION ALL SELECT b, a, round(strength, 6) FROM e WHERE strength >= 0.9""")
+def infer_equivalence_hubs(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "a string, b string")
+    return linking.equivalences(supplier_facts(spark, d), none, 0.9).select("a", "b", F.round("strength", 6).alias("strength"))
+
+
+@query(f"""WITH {HUB_COUNTED}, e AS (SELECT CASE WHEN ca.w < cb.w THEN a ELSE b END AS a, CASE WHEN ca.w < cb.w THEN b ELSE a END AS b, common / CAST(least(ca.w, cb.w) AS DOUBLE) AS strength FROM p JOIN c ca ON ca.owner = p.a JOIN c cb ON cb.owner = p.b)
+SELECT a, b, round(strength, 6) AS strength FROM e WHERE strength >= 0.97""")
+def infer_implication_hubs(spark: SparkSession, d: str) -> DataFrame:
+    none = spark.createDataFrame([], "a string, b string")
+    return linking.implications(supplier_facts(spark, d), none, 0.97).select("a", "b", F.round("strength", 6).alias("strength"))
+
+
+def tenth_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Rules: every tenth part implies the next."""
+    return table(spark, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").cast("string").alias("a"), (F.col("p_partkey") + 1).cast("string").alias("b"), F.lit(0.5).alias("strength"))
+
+
+@query(f"""WITH f AS {FACTS}, r AS (SELECT CAST(p_partkey AS VARCHAR) AS a, CAST(p_partkey + 1 AS VARCHAR) AS b FROM part WHERE p_partkey % 10 = 0),
+e AS (SELECT CAST(o_orderkey AS VARCHAR) AS a, CAST(o_orderkey + 1 AS VARCHAR) AS b FROM orders WHERE o_orderkey % 7 = 0),
+n AS (SELECT b AS owner, key, w * 0.5::DOUBLE AS w FROM f JOIN r ON owner = a UNION ALL SELECT owner, b, w * 0.5::DOUBLE FROM f JOIN e ON key = a)
+SELECT owner, key, max(w) AS w FROM n WHERE (owner, key) NOT IN (SELECT owner, key FROM f) GROUP BY 1, 2 HAVING max(w) >= 2""")
+def infer_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """What follows by an implication between parts or an equivalence of orders."""
+    equal = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").cast("string").alias("a"), (F.col("o_orderkey") + 1).cast("string").alias("b"), F.lit(0.5).alias("strength"))
+    return linking.evaluations(part_facts(spark, d), tenth_parts(spark, d), equal, 2.0)
+
+
+@query(f"""WITH f AS {FACTS} SELECT x.owner AS a, y.owner AS b, x.key AS key, {lnk(s('AND'), 'x.owner', 'y.owner')} AS composite
+FROM f x JOIN f y ON x.key = y.key AND x.owner < y.owner WHERE x.owner[1] <> y.owner[1]""")
+def infer_and_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of parts in one order whose numbers begin differently: their first digit stands for the base predicate."""
+    facts = part_facts(spark, d)
+    mentions = facts.select("owner", F.substring("owner", 1, 1).alias("name")).distinct()
+    return linking.and_predicates(facts, spark.createDataFrame([], "a string, b string"), mentions).drop("w")
+
+
 # Relational mapping
 
 
@@ -413,6 +595,14 @@ def relational_facts(spark: SparkSession, d: str) -> DataFrame:
     return links.where("is_toplevel").select("expr")
 
 
+@query(f"""SELECT h AS handle, true AS is_toplevel FROM (SELECT {lnk(s('Knows'), sym(chr(39) + '"' + chr(39) + ' || c_name || ' + chr(39) + '"' + chr(39)), lnk(s('Lives'), sym(chr(39) + 'nation:' + chr(39) + ' || c_nationkey')))} AS h FROM customer)
+UNION SELECT {lnk(s('Lives'), sym(chr(39) + 'nation:' + chr(39) + ' || c_nationkey'))}, false FROM customer""")
+def load_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Expressions as text, nested, read into links, each once."""
+    lines = table(spark, d, "customer").select(F.concat(F.lit('(Knows "'), "c_name", F.lit('" (Lives nation:'), F.col("c_nationkey").cast("string"), F.lit("))")).alias("value"))
+    return load_expressions(lines)[1].select("handle", "is_toplevel")
+
+
 # Words of documents
 
 

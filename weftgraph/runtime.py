@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, one machine) a temporary folder takes its place.
+    Only where it is unset on one machine, as in tests, a temporary folder takes its place; a cluster must name one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="weftgraph-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -38,6 +40,11 @@ def stored_together(parts: list[DataFrame]) -> DataFrame:
     return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*[p._stored_at for p in parts])
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what stored() wrote, once nothing will read it again."""
     path = getattr(df, "_stored_at", None)
