@@ -8,9 +8,9 @@ trees, by the sum of the squared margins that it crossed, and visits the next le
 rows. That share is what queries of the sample need for TARGET of their true neighbours, so vectors without structure are
 searched far and clustered ones little; trees are only so deep that a query visits about MAX_VISITS leaves.
 
-Leaves are joined with their visitors in blocks of bounded size on either side. A candidate that a query meets in several
-trees is looked at in the first of them only, so no inner product is formed twice. The best of a block get their scores
-anew, summed in one order whatever the block, and the best over all blocks are ranked.
+Leaves are joined with their visitors in blocks of bounded size on either side, whose products are formed at once. A
+candidate that a query meets in several trees counts in the first of them only. The best of a block get their scores anew,
+summed in one order whatever the block, and the best over all blocks are ranked.
 
 Equal vectors are indexed once, with their k + 1 least ids, and equal queries are searched once. Vectors that are null or
 zero, hold null or non-finite components, or have another length than most (of equally frequent lengths the least, as
@@ -35,7 +35,7 @@ from .common import discard, ship, stored
 
 K, EVERY = 20, 20
 #: Trees of the forest, least rows aimed at in a leaf, leaves that a query may visit, share of true neighbours aimed at.
-TREES, LEAF, MAX_VISITS, TARGET = 6, 50, 128, 0.94
+TREES, LEAF, MAX_VISITS, TARGET = 6, 50, 128, 0.93
 #: Vectors that trees are grown on, of them queries that choose the share, candidates and queries of a block, directions drawn.
 MAX_SAMPLE, MAX_TRIALS, BLOCK, QUERIES, DRAWS, SEED = 32_768, 200, 4096, 1024, 4, 5
 
@@ -213,21 +213,17 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY, trees: int = TRE
 
     def best(task: pd.DataFrame) -> pd.DataFrame:
         q, c = task[task["seen"].notna()], task[task["seen"].isna()]
-        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "candidate": np.zeros(0, np.int64), "score": np.zeros(0)})]
-        if len(q) and len(c):
-            tree = int(task["tree"].iloc[0])
-            ids, x, leaves = c["rep"].to_numpy(), np.stack(c["embedding"].tolist()), np.stack(c["leaves"].tolist())
-            earlier = leaves[:, :tree] + np.arange(tree) * leaves_n
-            for name, vector, seen in zip(q["rep"], q["embedding"], q["seen"], strict=True):
-                new = np.flatnonzero(~np.unpackbits(np.frombuffer(seen, np.uint8))[earlier].any(axis=1))
-                mine = x[new]
-                if len(new) > k + 1:
-                    # All that may tie with the last of the best come along.
-                    rough = mine @ vector
-                    new = new[rough >= np.partition(rough, -k - 1)[-k - 1] - 1e-9 * (1 + np.abs(rough).max())]
-                    mine = x[new]
-                out.append(pd.DataFrame({"query": name, "candidate": ids[new], "score": (mine * vector).sum(axis=1)}))
-        return pd.concat(out)
+        if not len(q) or not len(c):
+            return pd.DataFrame({"query": np.zeros(0, np.int64), "candidate": np.zeros(0, np.int64), "score": np.zeros(0)})
+        x, y = np.stack(c["embedding"].tolist()), np.stack(q["embedding"].tolist())
+        seen, leaves = np.stack([np.unpackbits(np.frombuffer(s, np.uint8)) for s in q["seen"]]), np.stack(c["leaves"].tolist())
+        rough = y @ x.T
+        for t in range(int(task["tree"].iloc[0])):
+            rough[seen[:, t * leaves_n + leaves[:, t]] > 0] = -np.inf
+        # All that may tie with the last of the best come along, and none that an earlier tree has shown.
+        least = np.partition(rough, -k - 1, axis=1)[:, [-k - 1]] if len(c) > k + 1 else np.full((len(q), 1), -np.inf)
+        row, column = np.nonzero((rough >= least - 1e-9 * (1 + np.abs(y).sum(axis=1, keepdims=True) * np.abs(x).max())) & (rough > -np.inf))
+        return pd.DataFrame({"query": q["rep"].to_numpy()[row], "candidate": c["rep"].to_numpy()[column], "score": (y[row] * x[column]).sum(axis=1)})
 
     found = queries.unionByName(placed).groupBy(*task).applyInPandas(best, "query long, candidate long, score double")
     top = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
