@@ -2,9 +2,11 @@
 
 Compared are a text's lines, its paragraphs (between blank lines) and the text as a whole, each as the set of bigrams of
 its normalised words. Normalised: ASCII letters in lower case, every run of other characters than a-z and 0-9 a break.
-A unit whose number of words can't reach the threshold with any template is pruned before bigrams are made, and a
-bigram is only counted for templates within the unit's size bounds. A unit must also hold one of the anchor words of some
-template: words so chosen that a unit without any of them lacks too many of the template's bigrams.
+A unit of w words, d of them distinct, has between d - 1 and w - 1 distinct bigrams, so it is pruned before bigrams are made
+if no template's size bounds meet that range, and its bigrams are only compared with templates within bounds. A unit must
+also hold one of the anchor words of some template: words so chosen that a unit without any of them lacks too many of the
+template's bigrams. Licences whose notices differ by a word or two all pass the threshold, so a unit counts for its best
+template alone, of equally good ones for the alphabetically first licence.
 
 Null and empty texts match nothing and are returned with nulls. Repeated rows each get their result; of equal scores the
 alphabetically first licence wins; other columns of the input play no part.
@@ -36,12 +38,53 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "CC-BY-NC-4.0": (
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
-    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-ND-4.0": (
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ),
+    "CC-BY-NC-SA-4.0": (
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-NC-ND-4.0": (
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ),
+    "CC-BY-3.0": (
+        "Licensed under CC BY 3.0.",
+        "This work is licensed under a Creative Commons Attribution 3.0 Unported License.",
+    ),
+    "CC-BY-SA-3.0": (
+        "Licensed under CC BY-SA 3.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.",
+    ),
     "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
@@ -89,19 +132,19 @@ def _units(text: Column) -> Column:
     return F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \\t\\r]*\n"), F.array(text)))
 
 
-def _grams(unit: Column) -> Column:
-    """The distinct bigrams of a unit's normalised words."""
+def _grams(unit: Column, low: float, high: float) -> Column:
+    """The distinct bigrams of a unit's normalised words; none if their number can't lie between low and high."""
     plain_words = F.filter(F.split(F.regexp_replace(F.translate(unit, UPPER, LOWER), "[^a-z0-9]+", " "), " "), lambda x: x != "")
     return let(
         plain_words,
-        lambda w: F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(
+        lambda w: F.when((F.size(w) < 2) | (F.size(w) - 1 < low - 1e-9) | (F.size(F.array_distinct(w)) - 1 > high + 1e-9), F.array().cast("array<string>")).otherwise(
             F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))))
         ),
     )
 
 
 def license_matches(text: Column, templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> Column:
-    """Array of (dice, license), a licence once with its best unit's score, best first and then by name."""
+    """Array of (score, license) of the units' best templates, a licence once with its best score, best first and then by name."""
     sets = [(name, sorted(bigrams(t))) for name, texts in sorted(templates.items()) for t in texts]
     bounds = [size_bounds(len(g), threshold) for _, g in sets]
     low, high = min(b[0] for b in bounds), max(b[1] for b in bounds)
@@ -116,10 +159,13 @@ def license_matches(text: Column, templates: dict[str, tuple[str, ...]] = TEMPLA
             )
             for (name, grams), (lo, hi) in zip(sets, bounds, strict=True)
         ]
-        return F.when(F.size(g).between(low, high), F.filter(F.array(*dice), lambda d: d["score"] >= threshold)).otherwise(F.array().cast(pair))
+        # Templates are in the order of names, so of equal scores the first name comes first.
+        over = lambda d: F.filter(d, lambda x: x["score"] >= threshold)
+        first = let(over(F.array(*dice)), lambda d: F.slice(F.filter(d, lambda x: x["score"] == F.array_max(F.transform(d, lambda y: y["score"]))), 1, 1))
+        return F.when(F.size(g).between(low - 1e-9, high + 1e-9), first).otherwise(F.array().cast(pair))
 
     units = F.filter(_units(text), lambda u: u.rlike(anchor))
-    found = F.flatten(F.transform(units, lambda u: let(_grams(u), scored)))
+    found = F.flatten(F.transform(units, lambda u: let(_grams(u, low, high), scored)))
     by_name = lambda f: F.array_distinct(F.transform(f, lambda d: d["license"]))
     best = lambda f: F.transform(by_name(f), lambda n: F.struct((-F.array_max(F.transform(F.filter(f, lambda d: d["license"] == n), lambda d: d["score"]))).alias("score"), n.alias("license")))
     ranked = let(found, lambda f: F.transform(F.array_sort(best(f)), lambda d: F.struct((-d["score"]).alias("score"), d["license"].alias("license"))))
@@ -147,10 +193,11 @@ def license_sql(templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: fl
     return f"""
 WITH templates AS (SELECT license, {bigram} AS t FROM (SELECT license, string_split(line, ' ') AS w FROM (VALUES {known}) v(license, line))),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-units AS (SELECT r, unnest(list_distinct(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[ \t\r]*\n')), [text]))) AS u FROM docs),
-grams AS (SELECT r, {bigram} AS g FROM (SELECT r, {split.format("u")} AS w FROM units) WHERE len(w) > 1),
-scored AS (SELECT r, license, 2.0 * len(list_intersect(g, t)) / (len(g) + len(t)) AS score FROM grams, templates WHERE len(g) <= 3 * len(t) AND len(t) <= 3 * len(g)),
-best AS (SELECT r, license, max(score) AS score FROM scored WHERE score >= {threshold} GROUP BY r, license),
+units AS (SELECT r, row_number() OVER () AS n, u FROM (SELECT r, unnest(list_distinct(list_concat(list_concat(string_split(text, chr(10)), string_split_regex(text, '\n[ \t\r]*\n')), [text]))) AS u FROM docs)),
+grams AS (SELECT r, n, {bigram} AS g FROM (SELECT r, n, {split.format("u")} AS w FROM units) WHERE len(w) > 1),
+scored AS (SELECT r, n, license, 2.0 * len(list_intersect(g, t)) / (len(g) + len(t)) AS score FROM grams, templates WHERE len(g) <= 3 * len(t) AND len(t) <= 3 * len(g)),
+firsts AS (SELECT r, license, score FROM scored WHERE score >= {threshold} QUALIFY row_number() OVER (PARTITION BY n ORDER BY score DESC, license) = 1),
+best AS (SELECT r, license, max(score) AS score FROM firsts GROUP BY r, license),
 ranked AS (SELECT r, list(license ORDER BY score DESC, license) AS names, max(score) AS top FROM best GROUP BY r)
 SELECT doc_id, names[1] AS license, round(top, 6) AS dice, CAST(coalesce(len(names), 0) AS BIGINT) AS n_licenses, coalesce(array_to_string(names, ','), '') AS licenses
 FROM docs LEFT JOIN ranked USING (r)"""
