@@ -3,11 +3,13 @@ r"""Quality rules: text statistics, fixed base rules and robust multivariate out
 Words are `[^\x20\x09-\x0D]+`. A null or empty text has no words and fails the base rules. Repeated rows each get a
 verdict; ties in distance share a bucket and so share their fate; other columns of the input play no part.
 
-The outlier rule estimates location and scatter per language and source by the minimum covariance determinant: start at
-medians and quartile ranges, then concentration steps that keep the nearest three quarters of a group and estimate
-again. Statistics are stored as integers, so sums don't depend on the order of rows. Each step is one aggregation to a
-row per group and distance bucket; the nearest share of a group is whole buckets. Groups with fewer than min_group
-usable rows borrow the estimate of their language, and such languages that of the corpus.
+The outlier rule estimates location and scatter per language and source by the minimum covariance determinant, from three
+starts: medians with quartile ranges, means with covariances, and medians with a sphere. Concentration steps keep the
+nearest three quarters of a group and estimate again. After TRIAL_STEPS of them each group goes on from the start whose
+determinant is least (of equal ones the first), until no group's determinant changes, at most STEPS more. Statistics are stored as
+integers, so sums don't depend on the order of rows. A step, of all starts at once, is one aggregation to a row per group, start
+and distance bucket; the nearest share of a group is whole buckets. Groups with fewer than min_group usable rows borrow the
+estimate of their language, and such languages that of the corpus.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ FEATURES = ("f_len", "f_sym", "f_upper", "f_punct", "f_repeat")
 SCALE = 1024
 #: Least standard deviation of each statistic: smaller spreads are sampling noise of short texts.
 FLOOR = (0.10, 0.08, 0.08, 0.08, 0.10)
-SHARE, STEPS, TAIL = 0.75, 4, 1e-5
+SHARE, TRIAL_STEPS, STEPS, TAIL = 0.75, 2, 6, 1e-5
 #: Groups whose estimates may be broadcast; beyond it they are joined by shuffle.
 MAX_BROADCAST_GROUPS = 50_000
 
@@ -117,32 +119,27 @@ def _joined(rows: DataFrame, groups: DataFrame, n_groups: int) -> DataFrame:
 
 
 def _inverse(groups: DataFrame, cov: dict[tuple[int, int], Column]) -> DataFrame:
-    """Columns a_i_j (i >= j) of the inverse of the covariance, by Cholesky's factor, one column at a time."""
-    p, df = len(FEATURES), groups
-    names = []
+    """Columns a_i_j (i >= j) of the inverse of the covariance and det, its determinant's logarithm, by Cholesky's factor."""
+    p, df = len(FEATURES), groups.withColumns({f"v_{i}_{j}": value for (i, j), value in cov.items()})
+    dot = lambda pairs: " + ".join(["0D", *(f"{x} * {y}" for x, y in pairs)])
 
-    def put(name: str, value: Column) -> None:
+    def put(values: dict[str, str]) -> None:
         nonlocal df
-        df = df.withColumn(name, value)
-        names.append(name)
+        df = df.withColumns({name: F.expr(value) for name, value in values.items()})
 
+    for j in range(p):
+        rest = {i: f"v_{i}_{j} - ({dot((f'l_{i}_{k}', f'l_{j}_{k}') for k in range(j))})" for i in range(j, p)}
+        put({f"l_{j}_{j}": f"sqrt(greatest({rest[j]}, 1e-9D))"})
+        put({f"l_{i}_{j}": f"({rest[i]}) / l_{j}_{j}" for i in range(j + 1, p)})
     for i in range(p):
-        for j in range(i + 1):
-            rest = cov[i, j] - sum((F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}") for k in range(j)), F.lit(0.0))
-            put(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    for i in range(p):
-        for j in range(i + 1):
-            own = F.lit(1.0) if i == j else -sum((F.col(f"l_{i}_{k}") * F.col(f"m_{k}_{j}") for k in range(j, i)), F.lit(0.0))
-            put(f"m_{i}_{j}", own / F.col(f"l_{i}_{i}"))
-    for i in range(p):
-        for j in range(i + 1):
-            df = df.withColumn(f"a_{i}_{j}", sum((F.col(f"m_{k}_{i}") * F.col(f"m_{k}_{j}") for k in range(i, p)), F.lit(0.0)))
-    return df.drop(*names)
+        put({f"m_{i}_{j}": ("1D" if i == j else f"-({dot((f'l_{i}_{k}', f'm_{k}_{j}') for k in range(j, i))})") + f" / l_{i}_{i}" for j in range(i + 1)})
+    put({f"a_{i}_{j}": dot((f"m_{k}_{i}", f"m_{k}_{j}") for k in range(i, p)) for i in range(p) for j in range(i + 1)} | {"det": f"round(2 * ({' + '.join(f'ln(l_{i}_{i})' for i in range(p))}), 9)"})
+    return df
 
 
 def _shape(groups: DataFrame) -> DataFrame:
     p = len(FEATURES)
-    return groups.select("g", *[f"c_{i}" for i in range(p)], *[f"a_{i}_{j}" for i in range(p) for j in range(i + 1)])
+    return groups.select("g", "start", "det", *[f"c_{i}" for i in range(p)], *[f"a_{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
 def squared_distance() -> Column:
@@ -151,33 +148,75 @@ def squared_distance() -> Column:
     return sum(((1 if i == j else 2) * F.col(f"a_{i}_{j}") * z[i] * z[j] for i in range(p) for j in range(i + 1)), F.lit(0.0))
 
 
-def robust_estimates(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """g, centre c_i and inverse scatter a_i_j for each group g of rows, which hold g and FEATURES."""
+PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i + 1)]
+
+
+def _sums() -> list[Column]:
+    """Aggregates n, s_i and s_i_j of rows' statistics."""
+    own = [F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)]
+    return [F.count(F.lit(1)).alias("n"), *own, *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i, j in PAIRS]]
+
+
+def _moments(sums: DataFrame, *keys: str) -> DataFrame:
+    """keys, means c_i and covariances v_i_j from n, s_i and s_i_j."""
+    mean = lambda name: F.col(name).cast("double") / F.col("n")
+    centres = [(mean(f"s_{i}") / SCALE).alias(f"c_{i}") for i in range(len(FEATURES))]
+    return sums.select(*keys, *centres, *[((mean(f"s_{i}_{j}") - mean(f"s_{i}") * mean(f"s_{j}")) / SCALE**2).alias(f"v_{i}_{j}") for i, j in PAIRS])
+
+
+def _estimates(moments: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Stored centres, inverse scatters and determinants of moments, which hold g and start; scatters never fall below FLOOR."""
+    cov = {(i, j): (FLOOR[i] ** 2 if i == j else 0.0) + scale * F.col(f"v_{i}_{j}") for i, j in PAIRS}
+    return stored(_shape(_inverse(moments, cov)), "mcd")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """The estimates that concentration starts from: start 0, 1 and 2 of each g."""
+    quartiles = [F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, f in enumerate(FEATURES)]
+    seen = stored(rows.groupBy("g").agg(*quartiles, *_sums()), "mcd-starts")
+    medians = [(F.get(f"q_{i}", F.lit(1)) / SCALE).alias(f"c_{i}") for i in range(len(FEATURES))]
+    spread = lambda i: ((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / (1.349 * SCALE)) ** 2
+    by_quartiles = seen.select("g", F.lit(0).alias("start"), *medians, *[(spread(i) if i == j else F.lit(0.0)).alias(f"v_{i}_{j}") for i, j in PAIRS])
+    by_means = _moments(seen.withColumn("start", F.lit(1)), "g", "start")
+    by_sphere = seen.select("g", F.lit(2).alias("start"), *medians, *[F.lit(0.0).alias(f"v_{i}_{j}") for i, j in PAIRS])
+    out = _estimates(by_quartiles.unionByName(by_means).unionByName(by_sphere))
+    discard(seen)
+    return out
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, n_groups: int, share: float) -> DataFrame:
+    """The estimates of each group's nearest share of rows, by each of its estimates."""
     p = len(FEATURES)
-    floor = {(i, j): F.lit(FLOOR[i] ** 2 if i == j else 0.0) for i in range(p) for j in range(i + 1)}
-    quartiles = rows.groupBy("g").agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}") for i, f in enumerate(FEATURES)])
-    first = quartiles.select("g", *[(F.get(f"q_{i}", F.lit(1)) / SCALE).alias(f"c_{i}") for i in range(p)], *[(((F.get(f"q_{i}", F.lit(2)) - F.get(f"q_{i}", F.lit(0))) / (1.349 * SCALE)) ** 2).alias(f"v_{i}") for i in range(p)])
-    now = stored(_shape(_inverse(first, {(i, j): floor[i, j] + (F.col(f"v_{i}") if i == j else 0.0) for i, j in floor})), "mcd")
-    n_groups = now.count()
     # Scatter of the nearest share of a normal sample, scaled back to the whole sample's.
     scale = share / chi2_cdf(chi2_quantile(share, p), p + 2)
-    pairs = [(i, j) for i in range(p) for j in range(i + 1)]
+    bucket = F.floor(16 * F.log2(1 + 16 * squared_distance())).cast("int")
+    cells = _joined(rows, now, n_groups).groupBy("g", "start", bucket.alias("b")).agg(*_sums())
+    by = Window.partitionBy("g", "start")
+    inner = cells.withColumn("before", F.coalesce(F.sum("n").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(by)).where(F.col("before") < share * F.col("all"))
+    names = ["n", *[f"s_{i}" for i in range(p)], *[f"s_{i}_{j}" for i, j in PAIRS]]
+    return _estimates(_moments(inner.groupBy("g", "start").agg(*[F.sum(c).alias(c) for c in names]), "g", "start"), scale)
+
+
+def robust_estimates(rows: DataFrame, share: float = SHARE, trial_steps: int = TRIAL_STEPS, steps: int = STEPS) -> DataFrame:
+    """g, start, det, centre c_i and inverse scatter a_i_j for each group g of rows, which hold g and FEATURES."""
+    now = _starts(rows)
+    n_groups = now.count()
+    for _ in range(trial_steps):
+        before, now = now, _concentrated(rows, now, n_groups, share)
+        discard(before)
+    least = Window.partitionBy("g").orderBy("det", "start")
+    before, now = now, stored(now.withColumn("r", F.row_number().over(least)).where(F.col("r") == 1).drop("r"), "mcd")
+    discard(before)
     for _ in range(steps):
-        bucket = F.floor(16 * F.log2(1 + 16 * squared_distance())).cast("int")
-        cells = _joined(rows, now, n_groups).groupBy("g", bucket.alias("b")).agg(
-            F.count(F.lit(1)).alias("n"), *[F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i, j in pairs]
-        )
-        by = Window.partitionBy("g")
-        inner = cells.withColumn("before", F.coalesce(F.sum("n").over(by.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(by)).where(F.col("before") < share * F.col("all"))
-        sums = inner.groupBy("g").agg(F.sum("n").cast("double").alias("n"), *[F.sum(f"s_{i}").cast("double").alias(f"s_{i}") for i in range(p)], *[F.sum(f"s_{i}_{j}").cast("double").alias(f"s_{i}_{j}") for i, j in pairs])
-        centred = sums.select("g", *[(F.col(f"s_{i}") / F.col("n") / SCALE).alias(f"c_{i}") for i in range(p)], *[(F.col(f"s_{i}_{j}") / F.col("n") / SCALE**2 - F.col(f"s_{i}") * F.col(f"s_{j}") / (F.col("n") * F.col("n")) / SCALE**2).alias(f"v_{i}_{j}") for i, j in pairs])
-        then = stored(_shape(_inverse(centred, {ij: floor[ij] + scale * F.col(f"v_{ij[0]}_{ij[1]}") for ij in pairs})), "mcd")
-        discard(now)
-        now = then
+        before, now = now, _concentrated(rows, now, n_groups, share)
+        moved = before.select("g", F.col("det").alias("was")).join(now, "g").where(F.col("det") != F.col("was")).limit(1).count()
+        discard(before)
+        if not moved:
+            break
     return now
 
 
-def judge(docs: DataFrame, min_group: int = 60, tail: float = TAIL, share: float = SHARE, steps: int = STEPS) -> DataFrame:
+def judge(docs: DataFrame, min_group: int = 60, tail: float = TAIL, share: float = SHARE) -> DataFrame:
     """A row per row of docs (doc_id, text, lang, source): base counts, base_failed, distance (squared) and kept.
 
     A document is kept if it passes the base rules and its squared distance doesn't exceed the chi-squared quantile
@@ -194,7 +233,7 @@ def judge(docs: DataFrame, min_group: int = 60, tail: float = TAIL, share: float
     levels = F.array(F.col("g_full"), F.col("g_lang"), F.lit("all"))
     wanted = named.select("g").distinct()
     rows = usable.select(F.explode(levels).alias("g"), *FEATURES).join(F.broadcast(wanted) if n_groups <= MAX_BROADCAST_GROUPS else wanted, "g", "left_semi")
-    estimates = robust_estimates(rows, share, steps)
+    estimates = robust_estimates(rows, share)
     limit = chi2_quantile(1 - tail, len(FEATURES))
     out = _joined(facts.join(F.broadcast(named) if n_groups <= MAX_BROADCAST_GROUPS else named, "g_full", "left"), estimates, n_groups)
     distance = F.when(F.col("base_failed"), F.lit(None).cast("double")).otherwise(F.round(squared_distance(), 9))
