@@ -185,6 +185,25 @@ def test_weighted_counts(spark):
     assert linking.similar_sentences(words, 0.1).first()["similarity"] == pytest.approx(0.75)
 
 
+def test_similar_sentences_by_force(spark):
+    rng = random.Random(2)
+    rows = {s: {"the": rng.randint(1, 3), rng.choice("of,to".split(",")): 1, **{f"w{rng.randint(0, 25)}": rng.randint(1, 2) for _ in range(rng.randint(1, 6))}} for s in range(70)}
+    words = spark.createDataFrame([(s, w, n) for s, ws in rows.items() for w, n in ws.items()], "sentence int, word string, n int")
+    for threshold in (0.0, 0.3, 0.5, 0.8):
+        want = {}
+        for a, x in rows.items():
+            for b, y in rows.items():
+                likeness = sum(x[w] + y[w] for w in x.keys() & y.keys()) / (sum(x.values()) + sum(y.values()))
+                if a < b and x.keys() & y.keys() and likeness >= threshold:
+                    want[a, b] = pytest.approx(likeness)
+        assert {(r["a"], r["b"]): r["similarity"] for r in linking.similar_sentences(words, threshold).collect()} == want
+    texts = {s: " ".join(ws) for s, ws in rows.items()}
+    sentences = spark.createDataFrame(list(texts.items()), "sentence int, text string")
+    places = lambda x, y: sum(p == q for p, q in zip(x, y, strict=False)) / max(len(x), len(y))
+    want = {(a, b) for a in texts for b in texts if a < b and places(texts[a], texts[b]) >= 0.4}
+    assert {(r["a"], r["b"]) for r in linking.similar_by_place(sentences, 0.4).collect()} == want
+
+
 def test_links_are_created_once(engine):
     before = engine.store.links.count()
     assert engine.create_links("(Similarity $a $b)", "(Alike $a $b)").count() == 14

@@ -16,7 +16,7 @@ from .operators.store import SKIP, Federation, Peer, Store, federated
 from .plans.compiler import Compiler, QueryOptions, top_answers
 from .plans.patterns import And, Chain, Constant, Or, Template, Variable, parse
 from .sources.expressions import as_links, load_expressions
-from .sources.relational import TableSpec, map_table, relation
+from .sources.relational import TableSpec, map_table, map_tables, relation
 
 Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
@@ -577,6 +577,22 @@ def infer_and_predicate(spark: SparkSession, d: str) -> DataFrame:
     return linking.and_predicates(facts, spark.createDataFrame([], "a string, b string"), mentions).drop("w")
 
 
+ORDER_WORDS = """(SELECT l_orderkey AS sentence, 'part ' || l_partkey AS word, count(*) AS n FROM lineitem GROUP BY 1, 2
+UNION ALL SELECT o_orderkey, o_orderpriority, 1 FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
+
+
+@query(f"""WITH w AS {ORDER_WORDS}, t AS (SELECT sentence, sum(n) AS total FROM w GROUP BY 1),
+s AS (SELECT x.sentence AS a, y.sentence AS b, sum(x.n + y.n) AS shared FROM w x JOIN w y ON x.word = y.word AND x.sentence < y.sentence GROUP BY 1, 2)
+SELECT a, b, round(CAST(shared AS DOUBLE) / CAST(p.total + q.total AS DOUBLE), 6) AS similarity FROM s JOIN t p ON p.sentence = a JOIN t q ON q.sentence = b
+WHERE CAST(shared AS DOUBLE) / CAST(p.total + q.total AS DOUBLE) >= 0.6""")
+def sentence_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as sentences of their parts and of their priority, a word that a fifth of all orders hold."""
+    lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    parts = lines.groupBy(F.col("l_orderkey").alias("sentence"), F.concat(F.lit("part "), F.col("l_partkey")).alias("word")).agg(F.count(F.lit(1)).alias("n"))
+    urgency = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select(F.col("o_orderkey").alias("sentence"), F.col("o_orderpriority").alias("word"), F.lit(1).cast("long").alias("n"))
+    return linking.similar_sentences(parts.unionByName(urgency), 0.6).withColumn("similarity", F.round("similarity", 6))
+
+
 # Relational mapping
 
 
@@ -595,6 +611,19 @@ def relational_facts(spark: SparkSession, d: str) -> DataFrame:
     return links.where("is_toplevel").select("expr")
 
 
+@query("""WITH c AS (SELECT * FROM customer WHERE c_acctbal > 9000 AND c_mktsegment = 'BUILDING')
+SELECT '(Evaluation (Predicate customer) (Concept (customer "' || c_custkey || '")))' AS expr FROM c
+UNION ALL SELECT '(Evaluation (Predicate (customer customer.c_name "' || c_name || '")) (Concept (customer "' || c_custkey || '")))' FROM c
+UNION ALL SELECT '(Evaluation (Predicate (customer.c_nationkey (Concept (nation "' || c_nationkey || '")))) (Concept (customer "' || c_custkey || '")))' FROM c
+UNION ALL SELECT '(Evaluation (Predicate nation) (Concept (nation "' || n_nationkey || '")))' FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)
+UNION ALL SELECT '(Evaluation (Predicate (nation nation.n_name "' || n_name || '")) (Concept (nation "' || n_nationkey || '")))' FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM c)""")
+def relational_conditions(spark: SparkSession, d: str) -> DataFrame:
+    """Some customers, and of the nations those that they are in."""
+    customers = TableSpec("customer", "c_custkey", {"c_nationkey": "nation"}, ("c_acctbal", "c_mktsegment"), ("c_acctbal > 9000", "c_mktsegment = 'BUILDING'"))
+    _, links = map_tables({n: table(spark, d, n) for n in ("customer", "nation")}, [customers], [TableSpec("nation", "n_nationkey", skip=("n_regionkey",))])
+    return links.where("is_toplevel").select("expr")
+
+
 @query(f"""SELECT h AS handle, true AS is_toplevel FROM (SELECT {lnk(s('Knows'), sym(chr(39) + '"' + chr(39) + ' || c_name || ' + chr(39) + '"' + chr(39)), lnk(s('Lives'), sym(chr(39) + 'nation:' + chr(39) + ' || c_nationkey')))} AS h FROM customer)
 UNION SELECT {lnk(s('Lives'), sym(chr(39) + 'nation:' + chr(39) + ' || c_nationkey'))}, false FROM customer""")
 def load_lines(spark: SparkSession, d: str) -> DataFrame:

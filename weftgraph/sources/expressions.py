@@ -74,17 +74,22 @@ def atoms_of(tree: Tree, top: bool = True) -> Iterator[tuple]:
     yield link_handle(targets), EXPRESSION, None, targets, top, show(tree)
 
 
-def load_expressions(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """nodes and links of the expressions in the rows of lines, each atom once; toplevel if any occurrence is."""
+def atom_rows(lines: DataFrame, value: str = "value", order: str | None = None) -> DataFrame:
+    """A row per atom of each expression in the rows of lines, with order's value as seq (0 without)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [a for line in batch[value] if line for tree in read(line) for a in atoms_of(tree)]
-            yield pd.DataFrame(rows, columns=["handle", "type", "name", "targets", "is_toplevel", "expr"])
+            rows = [(*a, n) for line, n in zip(batch["value"], batch["seq"], strict=True) if line for tree in read(line) for a in atoms_of(tree)]
+            yield pd.DataFrame(rows, columns=["handle", "type", "name", "targets", "is_toplevel", "expr", "seq"])
 
     ship(lines.sparkSession)
-    atoms = lines.select(value).mapInPandas(run, "handle string, type string, name string, targets array<string>, is_toplevel boolean, expr string")
-    once = atoms.groupBy("handle").agg(F.first("type").alias("type"), F.first("name", True).alias("name"), F.first("targets", True).alias("targets"), F.max("is_toplevel").alias("is_toplevel"), F.first("expr").alias("expr"))
+    held = lines.select(F.col(value).alias("value"), (F.col(order) if order else F.lit(0)).cast("long").alias("seq"))
+    return held.mapInPandas(run, "handle string, type string, name string, targets array<string>, is_toplevel boolean, expr string, seq long")
+
+
+def load_expressions(lines: DataFrame, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """nodes and links of the expressions in the rows of lines, each atom once; toplevel if any occurrence is."""
+    once = atom_rows(lines, value).groupBy("handle").agg(F.first("type").alias("type"), F.first("name", True).alias("name"), F.first("targets", True).alias("targets"), F.max("is_toplevel").alias("is_toplevel"), F.first("expr").alias("expr"))
     nodes = once.where(F.col("name").isNotNull()).select("handle", "type", "name", "is_toplevel")
     return nodes, as_links(once.where(F.col("targets").isNotNull()))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,12 +17,14 @@ ATOM = "array<struct<handle:string,type:string,name:string,targets:array<string>
 
 @dataclass(frozen=True)
 class TableSpec:
-    """key: primary key column; references: column to referenced table; skip: columns left out."""
+    """key: primary key column; references: column to referenced table; skip: columns left out; where: conditions in SQL, all of
+    which a row must meet."""
 
     name: str
     key: str
     references: dict[str, str] = field(default_factory=dict)
     skip: tuple[str, ...] = ()
+    where: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -79,8 +82,15 @@ def _facts(df: DataFrame, spec: TableSpec) -> list[tuple[Column, Term]]:
     return out
 
 
+def selected(df: DataFrame, spec: TableSpec) -> DataFrame:
+    for condition in spec.where:
+        df = df.where(condition)
+    return df
+
+
 def map_table(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """nodes and links of a table's rows, each atom once. Null, empty, too long and temporal values say nothing."""
+    df = selected(df, spec)
     held = [F.when(holds, F.array(*fact.atoms)).otherwise(F.array().cast(ATOM)) for holds, fact in _facts(df, spec)]
     atoms = df.select(F.explode(F.concat(*held)).alias("a")).select("a.*")
     return _once(atoms)
@@ -101,23 +111,31 @@ def map_query(spark: SparkSession, sql: str, specs: dict[str, TableSpec]) -> tup
         if prefix + spec.key not in own:
             raise ValueError(f"the key of {name} must be selected as {prefix}{spec.key}")
         parts.append(map_table(df.select(*[F.col(c).alias(c.removeprefix(prefix)) for c in own]), spec))
-    nodes, links = parts[0]
-    for n, x in parts[1:]:
-        nodes, links = nodes.unionByName(n), links.unionByName(x)
+    return _joined(parts)
+
+
+def _joined(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    nodes, links = (reduce(DataFrame.unionByName, tables) for tables in zip(*parts, strict=True))
     return nodes.dropDuplicates(["handle"]), links.dropDuplicates(["handle"])
 
 
+def map_tables(tables: dict[str, DataFrame], specs: list[TableSpec], referenced: list[TableSpec] | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes and links of the tables of specs, and of those of referenced the rows that a selected row of specs refers to."""
+    parts = [map_table(tables[s.name], s) for s in specs]
+    for r in referenced or []:
+        keys = [selected(tables[s.name], s).select(F.col(c).alias(r.key)) for s in specs for c, t in s.references.items() if t == r.name and c not in s.skip]
+        if keys:
+            parts.append(map_table(tables[r.name].join(reduce(DataFrame.unionByName, keys).distinct(), r.key, "left_semi"), r))
+    return _joined(parts)
+
+
 def synced(spark: SparkSession, folder: str, tables: dict[str, DataFrame], specs: list[TableSpec]) -> tuple[DataFrame, DataFrame]:
     """nodes and links of all tables, written to folder once for each set of specs and only read after that."""
     path = f"{folder}/{md5(repr(specs))}"
     place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/links/_SUCCESS")
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        parts = [map_table(tables[s.name], s) for s in specs]
-        for i, name in enumerate(("nodes", "links")):
-            both = parts[0][i]
-            for p in parts[1:]:
-                both = both.unionByName(p[i])
-            both.dropDuplicates(["handle"]).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name, both in zip(("nodes", "links"), map_tables(tables, specs), strict=True):
+            both.write.mode("overwrite").parquet(f"{path}/{name}")
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/links")
 
 
