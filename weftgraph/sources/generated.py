@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .relational import link, literal, node
-from .relational import _once as once
+from ..functions.handles import EXPRESSION, SYMBOL, escaped, link_column, node_column
+from .relational import once
+
+
+@dataclass(frozen=True)
+class Term:
+    """An atom as columns, with everything it is made of."""
+
+    handle: Column
+    expr: Column
+    atoms: tuple[Column, ...]
+
+
+def _row(handle: Column, kind: str, name: Column, targets: Column, top: bool, expr: Column) -> Column:
+    return F.struct(
+        handle.alias("handle"), F.lit(kind).alias("type"), name.cast("string").alias("name"), targets.cast("array<string>").alias("targets"), F.lit(top).alias("is_toplevel"), expr.alias("expr")
+    )
+
+
+def node(name: Column | str) -> Term:
+    name = F.lit(name) if isinstance(name, str) else name
+    h = node_column(name)
+    return Term(h, name, (_row(h, SYMBOL, name, F.lit(None), False, name),))
+
+
+def link(*terms: Term, top: bool = False) -> Term:
+    targets = F.array(*[t.handle for t in terms])
+    expr = F.concat(F.lit("("), F.concat_ws(" ", *[t.expr for t in terms]), F.lit(")"))
+    h = link_column(targets)
+    return Term(h, expr, (*[a for t in terms for a in t.atoms], _row(h, EXPRESSION, F.lit(None), targets, top, expr)))
+
+
+def literal(value: Column) -> Term:
+    return node(F.concat(F.lit('"'), escaped(value), F.lit('"')))
 
 
 def _word(seed: int, letters: int, length: int, place: Column) -> Column:

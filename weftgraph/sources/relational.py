@@ -9,10 +9,11 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.handles import EXPRESSION, SYMBOL, escaped, link_column, md5, node_column, sanitized
+from ..functions.handles import EXPRESSION, SYMBOL, escaped, link_column, md5, node_column, node_handle, sanitized
 from .expressions import as_links
 
-ATOM = "array<struct<handle:string,type:string,name:string,targets:array<string>,is_toplevel:boolean,expr:string>>"
+#: How a fact's predicate is made: the table alone, with a column and its value, or of a reference.
+KEY, PLAIN, REFERS = "key", "plain", "refers"
 
 
 @dataclass(frozen=True)
@@ -27,59 +28,58 @@ class TableSpec:
     where: tuple[str, ...] = ()
 
 
-@dataclass(frozen=True)
-class Term:
-    """An atom as columns, with everything it is made of."""
-
-    handle: Column
-    expr: Column
-    atoms: tuple[Column, ...]
-
-
-def _row(handle: Column, kind: str, name: Column, targets: Column, top: bool, expr: Column) -> Column:
-    return F.struct(
-        handle.alias("handle"), F.lit(kind).alias("type"), name.cast("string").alias("name"), targets.cast("array<string>").alias("targets"), F.lit(top).alias("is_toplevel"), expr.alias("expr")
-    )
-
-
-def node(name: Column | str) -> Term:
-    name = F.lit(name) if isinstance(name, str) else name
-    h = node_column(name)
-    return Term(h, name, (_row(h, SYMBOL, name, F.lit(None), False, name),))
+def _facts(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """kind, head, mid, v, st, sv: that a predicate, of kind, head, mid and value v, holds of the row sv of table st.
 
-
-def link(*terms: Term, top: bool = False) -> Term:
-    targets = F.array(*[t.handle for t in terms])
-    expr = F.concat(F.lit("("), F.concat_ws(" ", *[t.expr for t in terms]), F.lit(")"))
-    h = link_column(targets)
-    return Term(h, expr, (*[a for t in terms for a in t.atoms], _row(h, EXPRESSION, F.lit(None), targets, top, expr)))
-
-
-def literal(value: Column) -> Term:
-    return node(F.concat(F.lit('"'), escaped(value), F.lit('"')))
-
-
-def _facts(df: DataFrame, spec: TableSpec) -> list[tuple[Column, Term]]:
-    """(where it holds, the fact) for the key, each plain or reference column and each ordered pair of distinct references."""
-    kinds = dict(df.dtypes)
-    value = lambda c: sanitized(F.col(c).cast("string"))
-    predicate, subject_of = node("Predicate"), node("Concept")
-    concept = lambda t, v: link(subject_of, link(node(t), literal(v)))
-    subject = concept(spec.name, value(spec.key))
-    says = lambda p, c: link(node("Evaluation"), link(predicate, p), c, top=True)
-    has_key = value(spec.key).isNotNull()
-    out = [(has_key, says(node(spec.name), subject))]
-    refers = {c: (t, link(node(f"{spec.name}.{c}"), concept(t, value(c)))) for c, t in spec.references.items() if c not in spec.skip}
-    for c in df.columns:
-        if c == spec.key or c in spec.skip or kinds[c].startswith(("timestamp", "date")):
-            continue
-        p = refers[c][1] if c in refers else link(node(spec.name), node(f"{spec.name}.{c}"), literal(value(c)))
-        out.append((has_key & value(c).isNotNull(), says(p, subject)))
+    For the key, each plain or reference column and each ordered pair of distinct references.
+    """
+    kinds, refers = dict(df.dtypes), {c: t for c, t in spec.references.items() if c not in spec.skip}
+    columns = [c for c in df.columns if c != spec.key and c not in spec.skip and not kinds[c].startswith(("timestamp", "date"))]
+    values = df.select(*[sanitized(F.col(c).cast("string")).alias(c) for c in dict.fromkeys([spec.key, *columns, *refers])])
+
+    def says(kind: str, head: str, mid: str | None, v: Column, st: str, sv: str, also: Column | None = None) -> Column:
+        texts = {"kind": F.lit(kind), "head": F.lit(head), "mid": F.lit(mid).cast("string"), "v": v.cast("string"), "st": F.lit(st), "sv": F.col(sv)}
+        holds = F.col(sv).isNotNull() & (F.lit(True) if kind == KEY else v.isNotNull()) & (F.lit(True) if also is None else also)
+        return F.when(holds, F.struct(*[t.alias(n) for n, t in texts.items()]))
+
+    held = [says(KEY, spec.name, None, F.lit(None), spec.name, spec.key)]
+    for c in columns:
+        held.append(says(REFERS, f"{spec.name}.{c}", refers[c], F.col(c), spec.name, spec.key) if c in refers else says(PLAIN, spec.name, f"{spec.name}.{c}", F.col(c), spec.name, spec.key))
     for a, b in permutations(refers, 2):
-        both = value(a).isNotNull() & value(b).isNotNull()
-        differ = F.lit(True) if refers[a][0] != refers[b][0] else value(a) != value(b)
-        out.append((both & differ, says(refers[a][1], concept(refers[b][0], value(b)))))
-    return out
+        differ = None if refers[a] != refers[b] else F.col(a) != F.col(b)
+        held.append(says(REFERS, f"{spec.name}.{a}", refers[a], F.col(a), refers[b], b, differ))
+    return values.select(F.explode(F.array_compact(F.array(*held))).alias("f")).select("f.*")
+
+
+def _atoms(facts: DataFrame) -> DataFrame:
+    """A row per atom of each fact, level by level, so that what a level makes is computed once and its code stays small."""
+    quoted = lambda c: F.concat(F.lit('"'), escaped(F.col(c)), F.lit('"'))
+    of = lambda *kinds: F.col("kind").isin(*kinds)
+    shown = lambda *parts: F.concat(F.lit("("), F.concat_ws(" ", *parts), F.lit(")"))
+    fixed = {name: F.lit(node_handle(name)) for name in ("Evaluation", "Predicate", "Concept")}
+    df = facts.withColumns({"v": quoted("v"), "sv": quoted("sv")})
+    df = df.withColumns({f"h_{c}": node_column(F.col(c)) for c in ("head", "mid", "v", "st", "sv")})
+    # (st sv) and what a reference refers to, each of the form (table value); then the concepts of both.
+    df = df.withColumns({"h_row": link_column(F.array("h_st", "h_sv")), "e_row": shown("st", "sv"), "h_ref": F.when(of(REFERS), link_column(F.array("h_mid", "h_v"))), "e_ref": F.when(of(REFERS), shown("mid", "v"))})
+    concept = lambda c: {f"h_{c}_of": link_column(F.array(fixed["Concept"], f"h_{c}")), f"e_{c}_of": shown(F.lit("Concept"), f"e_{c}")}
+    df = df.withColumns(concept("row") | {n: F.when(of(REFERS), x) for n, x in concept("ref").items()})
+    made = F.when(of(PLAIN), F.array("h_head", "h_mid", "h_v")).when(of(REFERS), F.array("h_head", "h_ref_of"))
+    df = df.withColumns({"made": made, "e_made": F.when(of(PLAIN), shown("head", "mid", "v")).when(of(REFERS), shown("head", "e_ref_of")).otherwise(F.col("head"))})
+    df = df.withColumn("h_made", F.when(of(KEY), F.col("h_head")).otherwise(link_column(F.col("made"))))
+    df = df.withColumns({"h_predicate": link_column(F.array(fixed["Predicate"], "h_made")), "e_predicate": shown(F.lit("Predicate"), "e_made")})
+    df = df.withColumns({"h_fact": link_column(F.array(fixed["Evaluation"], "h_predicate", "h_row_of")), "e_fact": shown(F.lit("Evaluation"), "e_predicate", "e_row_of")})
+
+    def row(handle: Column, kind: str, name: Column, targets: Column, top: bool, expr: Column) -> Column:
+        return F.struct(handle.alias("handle"), F.lit(kind).alias("type"), name.cast("string").alias("name"), targets.cast("array<string>").alias("targets"), F.lit(top).alias("is_toplevel"), expr.alias("expr"))
+
+    node = lambda handle, name: row(handle, SYMBOL, name, F.lit(None), False, name)
+    link = lambda c, *targets, top=False: row(F.col(f"h_{c}"), EXPRESSION, F.lit(None), F.array(*targets), top, F.col(f"e_{c}"))
+    every = [node(h, F.lit(n)) for n, h in fixed.items()] + [node(F.col(f"h_{c}"), F.col(c)) for c in ("head", "st", "sv")]
+    every += [link("row", "h_st", "h_sv"), link("row_of", fixed["Concept"], "h_row"), link("predicate", fixed["Predicate"], "h_made"), link("fact", fixed["Evaluation"], "h_predicate", "h_row_of", top=True)]
+    valued = [node(F.col(f"h_{c}"), F.col(c)) for c in ("mid", "v")] + [row(F.col("h_made"), EXPRESSION, F.lit(None), F.col("made"), False, F.col("e_made"))]
+    refers = [link("ref", "h_mid", "h_v"), link("ref_of", fixed["Concept"], "h_ref")]
+    atoms = F.array(*every, *[F.when(~of(KEY), a) for a in valued], *[F.when(of(REFERS), a) for a in refers])
+    return df.select(F.explode(F.array_compact(atoms)).alias("a")).select("a.*")
 
 
 def selected(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -90,13 +90,10 @@ def selected(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 def map_table(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """nodes and links of a table's rows, each atom once. Null, empty, too long and temporal values say nothing."""
-    df = selected(df, spec)
-    held = [F.when(holds, F.array(*fact.atoms)).otherwise(F.array().cast(ATOM)) for holds, fact in _facts(df, spec)]
-    atoms = df.select(F.explode(F.concat(*held)).alias("a")).select("a.*")
-    return _once(atoms)
+    return once(_atoms(_facts(selected(df, spec), spec)))
 
 
-def _once(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
+def once(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
     once = atoms.groupBy("handle").agg(F.first("type").alias("type"), F.first("name", True).alias("name"), F.first("targets", True).alias("targets"), F.max("is_toplevel").alias("is_toplevel"), F.first("expr").alias("expr"))
     return once.where(F.col("name").isNotNull()).select("handle", "type", "name", "is_toplevel"), as_links(once.where(F.col("targets").isNotNull()))
 
