@@ -115,6 +115,25 @@ def test_paths_of_any_length(spark):
         find_paths(edges, "n0", "n33", max_hops=2)
 
 
+def test_a_chain_broadcasts_no_table_by_estimate(spark, tmp_path, monkeypatch):
+    """Importance and links join by merge, whatever Spark thinks of their sizes."""
+    from weftgraph import queries
+    from weftgraph.plans import compiler
+
+    class Planned(Exception):
+        pass
+
+    def planned(edges, *_, **__):
+        raise Planned(edges._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(compiler, "find_paths", planned)
+    spark.range(200).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("chain_best_child",):
+        with pytest.raises(Planned) as plan:
+            queries.QUERIES[name](spark, str(tmp_path))
+        assert "SortMergeJoin" in str(plan.value) and "Broadcast" not in str(plan.value)
+
+
 @pytest.mark.parametrize(("job", "depth"), [("types", 33), ("incoming", 65), ("targets", 65)])
 def test_deep_nesting(spark, job, depth):
     names = ["leaf", *(f"link{i}" for i in range(depth))]

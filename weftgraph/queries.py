@@ -299,7 +299,7 @@ def engine_count_only(spark: SparkSession, d: str) -> DataFrame:
 def part_importance(spark: SparkSession, d: str) -> DataFrame:
     """Of an Under link, by the number of its lower part."""
     parts = table(spark, d, "part").select(node_column(named("part", "p_partkey")).alias("t1"), (F.col("p_partkey") % 7 / 10.0).alias("importance"))
-    return under(spark, d).join(parts, "t1").select("handle", "importance")
+    return under(spark, d).join(parts.hint("merge"), "t1").select("handle", "importance")
 
 
 WEIGHED = f"(SELECT u.*, i FROM {UNDER} u JOIN (SELECT {sym(chr(39) + 'part:' + chr(39) + ' || p_partkey')} AS k, p_partkey % 7 / 10.0 AS i FROM part) w ON w.k = u.a)"
