@@ -128,7 +128,7 @@ def test_a_chain_broadcasts_no_table_by_estimate(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(compiler, "find_paths", planned)
     spark.range(200).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
-    for name in ("chain_best_child",):
+    for name in ("chain_greatest", "chain_best_child"):
         with pytest.raises(Planned) as plan:
             queries.QUERIES[name](spark, str(tmp_path))
         assert "SortMergeJoin" in str(plan.value) and "Broadcast" not in str(plan.value)
