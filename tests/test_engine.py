@@ -322,6 +322,23 @@ def test_inference_through_links(spark):
     assert pairs.count() == 20 and {r["common"] for r in pairs.collect()} == {10}
 
 
+@pytest.mark.parametrize("rule", ["implications"])
+def test_owners_with_equal_facts_are_compared_once(spark, monkeypatch, rule):
+    """Classes give the pairs that owners give one by one, of copies too, and compare only one owner of each."""
+    rng = random.Random(3)
+    kinds = [{k: rng.randint(8, 10) for k in range(5)} for _ in range(6)]
+    rows = [(f"o{i}", f"k{k}", w) for i in range(40) for k, w in kinds[rng.randrange(6)].items()]
+    facts, linked = spark.createDataFrame(rows, "owner string, key string, w long"), spark.createDataFrame([("o1", "o2"), ("o9", "o3")], "a string, b string")
+    compared, counted = [], linking.shared_weights
+    monkeypatch.setattr(linking, "CHUNK", 3)
+    monkeypatch.setattr(linking, "TASK_PAIRS", 100)
+    monkeypatch.setattr(linking, "shared_weights", lambda f, *a: (compared.append(f.select("owner").distinct().count()), counted(f, *a))[1])
+    for known in (linked, linked.limit(0)):
+        got, want = (sorted(map(tuple, getattr(linking, rule)(facts, known, 0.93, classes=c, digits=6).collect())) for c in (True, False))
+        assert got == want and len(want) > 100
+    assert compared == [6, 40, 6, 40]
+
+
 def test_federation_writes_to_writable_peers(spark, engine):
     nodes, links = load_expressions(spark.createDataFrame([('(New "a" "b")',)], "value string"))
     both = Federation((Peer(Store.empty(spark)), Peer(engine.store, writable=False)))
