@@ -322,7 +322,7 @@ def test_inference_through_links(spark):
     assert pairs.count() == 20 and {r["common"] for r in pairs.collect()} == {10}
 
 
-@pytest.mark.parametrize("rule", ["implications"])
+@pytest.mark.parametrize("rule", ["equivalences", "implications"])
 def test_owners_with_equal_facts_are_compared_once(spark, monkeypatch, rule):
     """Classes give the pairs that owners give one by one, of copies too, and compare only one owner of each."""
     rng = random.Random(3)
