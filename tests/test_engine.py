@@ -204,6 +204,17 @@ def test_weighted_counts(spark):
     assert linking.similar_sentences(words, 0.1).first()["similarity"] == pytest.approx(0.75)
 
 
+def test_similar_sentences_keep_no_pair_below_the_threshold(spark, monkeypatch):
+    """Sentences of three words that share one at most: what is stored grows with the words, not with the pairs that share one."""
+    rows = [(i, w, 1) for i in range(400) for w in (f"r{i // 20}", f"c{i % 20}", f"d{(i // 20 + i % 20) % 20}")]
+    rows += [(900, "x", 1), (900, "y", 1), (900, None, 1), (901, "x", 1), (901, "y", 1)]
+    counts, keep = [], linking.stored
+    monkeypatch.setattr(linking, "stored", lambda df, *a: (out := keep(df, *a), counts.append(out.count()))[0])
+    found = linking.similar_sentences(spark.createDataFrame(rows, "sentence long, word string, n long"), 0.6).collect()
+    assert [(r["a"], r["b"], r["similarity"]) for r in found] == [(900, 901, pytest.approx(0.8))]
+    assert max(counts) <= len(rows)
+
+
 def test_similar_sentences_by_force(spark):
     rng = random.Random(2)
     rows = {s: {"the": rng.randint(1, 3), rng.choice("of,to".split(",")): 1, **{f"w{rng.randint(0, 25)}": rng.randint(1, 2) for _ in range(rng.randint(1, 6))}} for s in range(70)}
