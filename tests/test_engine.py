@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.engine import Engine, evolution_from_text, schema_pairs
 from weftgraph.functions.handles import link_handle, md5, node_handle
-from weftgraph.operators import accessors, linking
+from weftgraph.operators import accessors, linking, paths
 from weftgraph.operators.attention import Attention, Rates, context_lines
 from weftgraph.operators.evolution import FITNESS, Evolution, fitness_called, fitness_importance, substituted
 from weftgraph.operators.linking import Knowledge, Limits
@@ -115,6 +115,25 @@ def test_paths_of_any_length(spark):
         find_paths(edges, "n0", "n33", max_hops=2)
 
 
+def test_all_paths_are_stored_once_and_not_shuffled(spark, monkeypatch):
+    """Of a search for all continuations only links, nodes and totals of paths are stored, and no shuffle looks for doubles."""
+    rng = random.Random(5)
+    rows = [(f"l{i}", f"n{rng.randint(0, 6)}", f"n{rng.randint(0, 6)}", 1.0) for i in range(14)]
+    edges = spark.createDataFrame(rows + rows[:5], "handle string, src string, dst string, importance double")
+    shapes, keep = [], paths.stored
+    monkeypatch.setattr(paths, "stored", lambda df, *a, **b: (shapes.append(df.columns), keep(df, *a, **b))[1])
+    for source, target in ((None, "n0"), ("n0", None), ("n0", "n3")):
+        found = find_paths(edges, source, target, incomplete=True, all_prefixes=True)
+        want, front = [], [((), (source or target,))]
+        while front:
+            front = [(ls + (h,), ns + (far,)) for ls, ns in front for h, a, b, _ in rows for near, far in [(a, b) if source else (b, a)] if near == ns[-1] and far not in ns]
+            want += [ls if source else ls[::-1] for ls, _ in front]
+            front = [x for x in front if not (source and x[1][-1] == target)]
+        assert sorted(tuple(r["links"]) for r in found.collect()) == sorted(want)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert all("before" not in columns for columns in shapes)
+
+
 def test_a_chain_broadcasts_no_table_by_estimate(spark, tmp_path, monkeypatch):
     """Importance and links join by merge, whatever Spark thinks of their sizes."""
     from weftgraph import queries
