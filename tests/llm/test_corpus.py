@@ -253,3 +253,40 @@ def test_cached_ids_equal_plain_ids():
     for _ in range(1500):
         t = "".join(rng.choice(["a", "é", " ", "\n", "  ", "'s", "12", ".", "\t", "<|endoftext|>", "日本", " b", "\x1c", "　"]) for _ in range(rng.randint(0, 20)))
         assert np.frombuffer(tokenizer.encode([t])[0], "<u4").tolist() == tokenizer.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_packing_forgets_with_its_task(spark, docs_of):
+    import pandas as pd
+
+    tokenizer = packing.tokenizer_of()
+    tokenizer.encode(["a word, word. word; an odd-word"])
+    assert "word" in tokenizer.chunks and " word" not in tokenizer.parts  # no word is kept twice
+    tokenizer.forget()
+    assert not (tokenizer.chunks or tokenizer.parts or tokenizer.chunks.older or tokenizer.parts.older)
+    assert packing.token_pieces(docs_of([f"some words, number{i} and-so on" for i in range(400)])).count() == 400
+
+    def held(batches):
+        for _ in batches:
+            yield pd.DataFrame({"n": [sum(len(c) + len(c.older) for t in packing._tokenizers.values() for c in (t.chunks, t.parts))]})
+
+    assert spark.range(0, 400, 1, 8).mapInPandas(held, "n long").agg({"n": "max"}).first()[0] == 0
+
+
+def test_texts_go_to_python_in_small_batches(spark, docs_of):
+    import pandas as pd
+
+    key, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", docs_of(["one text"])
+    before = spark.conf.get(key)
+    model = toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    try:
+        for f in (neardup.near_duplicates, packing.token_pieces, packing.pack_documents, lambda d: toxicity.score(d, model)):
+            for usual in ("10000", "0"):
+                spark.conf.set(key, usual)
+                f(docs)
+                most = spark.range(0, 5000, 1, 1).mapInPandas(lambda batches: (pd.DataFrame({"n": [len(b)]}) for b in batches), "n long").agg({"n": "max"}).first()[0]
+                assert most <= 1024
+        spark.conf.set(key, "100")
+        packing.token_pieces(docs)
+        assert spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, before)

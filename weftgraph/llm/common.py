@@ -9,16 +9,30 @@ from pyspark.sql import functions as F
 
 from ..runtime import discard, shared_dir, ship, stored
 
-__all__ = ["discard", "fresh", "join_hot", "let", "shared_dir", "ship", "stored", "table", "words"]
+__all__ = ["discard", "fresh", "join_hot", "let", "shared_dir", "ship", "ship_texts", "stored", "table", "words"]
 
 #: A key is hot if it holds more than this share of all rows, so hot keys are never more than its inverse.
 HOT_SHARE = 0.001
+#: Rows with texts that go to Python at a time.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_texts(spark: SparkSession) -> None:
+    """ship() for operators whose Python reads texts: from here on, the session sends it at most BATCH_ROWS rows at a time.
+
+    Spark's usual 10,000 rows hold tens of MB of texts, of which the executor, beside its heap, and each of its Python
+    workers keep several copies. A smaller limit of the session stays.
+    """
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, also where body uses it within lambdas."""
     return F.transform(F.array(value), body)[0]

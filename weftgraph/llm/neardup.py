@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, join_hot, ship, stored
+from .common import discard, fresh, join_hot, ship_texts, stored
 from .graphs import components
 from .wordhash import U, batched, gram_hashes, mix64, word_hashes
 
@@ -135,7 +135,7 @@ def _verify(names: np.ndarray, weights: np.ndarray, side: np.ndarray, texts: lis
 def text_classes(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """doc_id and digest of every row of docs (doc_id, text), and per digest: class_id, first_id (its own least doc_id), copies,
     has_grams, links (weighted by copies), n_text_links and keeps, true for one digest of each class."""
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     bands, rows = banding(threshold, recall)
     marks = stored(sketches(docs, bands, rows), "sketches")
     found = marks.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ship, stored
+from .common import discard, ship_texts, stored
 
 CAPACITY, END_ID = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
@@ -53,6 +53,10 @@ class Learned(dict):
         self[key] = value
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
     def turn(self) -> None:
         if len(self) > CACHE_ENTRIES:
             self.older = dict(self)
@@ -100,8 +104,8 @@ class CachedTokenizer:
         if not (rest.isascii() or max(rest) < SETTLED):
             return self._encoded(" " + rest)
         word = rest.rstrip(ENDS)
-        if word.isalpha():
-            return self.parts[" " + word] + self.parts[rest[len(word) :]] if len(word) < len(rest) else self.parts[" " + word]
+        if word.isalpha():  # kept as a chunk only, as what is kept twice takes twice the memory
+            return self.chunks[word] + self.parts[rest[len(word) :]] if len(word) < len(rest) else self._part(" " + word)
         return b"".join([self.parts[p] for p in self.pre_tokens.findall(" " + rest)])
 
     def _segment(self, text: str) -> bytes:
@@ -127,6 +131,11 @@ class CachedTokenizer:
         self.parts.turn()
         return [self._ids(t) for t in texts]
 
+    def forget(self) -> None:
+        """Gives up what it has learned. A worker outlives its task, and what it holds would take memory from whatever runs there next."""
+        self.chunks.forget()
+        self.parts.forget()
+
 
 _tokenizers: dict[str, CachedTokenizer] = {}
 
@@ -155,17 +164,20 @@ def pieces_of(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int,
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:
     """FIELDS of every document's pieces; docs: doc_id, text."""
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = tokenizer_of(path)
-        for batch in batches:
-            texts, rows = [t or "" for t in batch["text"]], []
-            for at in range(0, len(texts), TEXTS):
-                for d, ids in zip(batch["doc_id"].iloc[at : at + TEXTS], tokenizer.encode(texts[at : at + TEXTS]), strict=True):
-                    rows += [(d, *p) for p in pieces_of(ids + end, capacity)]
-            yield pd.DataFrame(rows, columns=list(FIELDS)).astype({"doc_id": "Int64"})
+        try:
+            for batch in batches:
+                texts, rows = [t or "" for t in batch["text"]], []
+                for at in range(0, len(texts), TEXTS):
+                    for d, ids in zip(batch["doc_id"].iloc[at : at + TEXTS], tokenizer.encode(texts[at : at + TEXTS]), strict=True):
+                        rows += [(d, *p) for p in pieces_of(ids + end, capacity)]
+                yield pd.DataFrame(rows, columns=list(FIELDS)).astype({"doc_id": "Int64"})
+        finally:
+            tokenizer.forget()
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -230,7 +242,7 @@ def _as_items(pieces: DataFrame) -> DataFrame:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, fan_in: int = FAN_IN, slack: int = SLACK) -> DataFrame:
     """FIELDS of every piece with sequence_id and offset."""
-    ship(pieces.sparkSession)
+    ship_texts(pieces.sparkSession)
     items = stored(_as_items(pieces), "pack-items")
     done = [items.where(F.col("total") == capacity)]
     left = items.where(F.col("total") < capacity)

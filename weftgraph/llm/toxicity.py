@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, ship, stored
+from .common import discard, fresh, ship_texts, stored
 from .wordhash import mix64
 
 ORDERS = (4, 5, 6, 7)
@@ -170,7 +170,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, seed: int = SEED) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic."""
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     known = training_labels(labels)
     share = known.agg(F.avg("toxic")).first()[0]
     none = np.zeros(0, np.uint64), np.zeros(0)
@@ -218,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """docs (with text) with score and predicted under names, row for row; columns of the input that are called so are replaced."""
-    ship(docs.sparkSession)
+    ship_texts(docs.sparkSession)
     docs = docs.drop(*names)
 
     @F.pandas_udf("score double, predicted int")
